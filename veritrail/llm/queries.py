@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL that each must equal, where SQL can say it."""
 
-from . import op1_mixing, op2_hosts, op9_packing
+from . import op1_mixing, op2_hosts, op6_language, op9_packing
 
-_MODULES = (op1_mixing, op2_hosts, op9_packing)
+_MODULES = (op1_mixing, op2_hosts, op6_language, op9_packing)
 
 QUERIES = {name: getattr(m, name) for m in _MODULES for name in (m.__name__.rpartition(".")[2],)}
 ORACLE_SQL = {m.__name__.rpartition(".")[2]: m.ORACLE_SQL for m in _MODULES if getattr(m, "ORACLE_SQL", None)}
