@@ -69,3 +69,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def bit_map(places: DataFrame, bits: int) -> np.ndarray:
+    """The set bits of a map of fixed size, from a column ``p`` of places below ``bits``.
+
+    Executors set the bits; the driver gets bits / 8 bytes at most, however many rows there are.
+    """
+    rows = places.groupBy(F.shiftright("p", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out

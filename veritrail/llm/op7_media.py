@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, runs, staged, table, utf8
+from .common import bit_map, mixed, runs, staged, table, utf8
 
 UNIT = 576
 PAD = 255
@@ -141,11 +141,7 @@ def shared(lists: DataFrame) -> np.ndarray:
     chunks = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(MARKS - 1))
     marks = copies.unionByName(chunks).select(place.alias("p"))
-    rows = marks.groupBy(F.shiftright("p", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
-    out = np.zeros(MARKS // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        out[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+    return bit_map(marks, MARKS)
 
 
 def stored(docs: DataFrame, marks: np.ndarray) -> DataFrame:
