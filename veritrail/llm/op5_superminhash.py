@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, mixed, runs, staged, table, utf8
+from .common import bit_map, mixed, runs, small_enough, staged, table, utf8
 
 SHINGLE = 4
 RANKS, BANDS = 128, 32
@@ -287,5 +287,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group; columns as in ``docs``."""
+    gone = staged(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if small_enough(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_superminhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

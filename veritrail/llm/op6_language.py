@@ -122,11 +122,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return list(place), np.vstack([np.log(sums / sums.sum(axis=0)), prior]).astype(np.float32)
 
 
-def classify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def classify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text if it isn't wanted, with lang_pred and score."""
     langs, logs = model
     sent = docs.sparkSession.sparkContext.broadcast(logs)
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if keep_text or c != "text"]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def score(batches):
@@ -150,7 +150,7 @@ def classify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             scores = pa.array(np.where(some, np.clip(sure, 0, 1), 0.0))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], named, scores], [*names, "lang_pred", "score"])
 
-    return docs.select(*names, "text").mapInArrow(score, fields + ", lang_pred string, score double")
+    return docs.select(*names, *([] if keep_text else ["text"])).mapInArrow(score, fields + ", lang_pred string, score double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -159,5 +159,12 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return classify(rows, fit(docs, sample))
 
 
+def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more; columns as in ``docs``."""
+    named = docs.withColumnsRenamed({c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns})
+    scored = classify(named, fit(docs), keep_text=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return scored.select(*[F.col(c).alias(d) for c, d in zip(named.columns, docs.columns)])
+
+
 def op6_language(spark, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
