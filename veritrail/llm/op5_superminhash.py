@@ -62,20 +62,29 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word of consecutive texts, and the words of each text."""
-    space = _SPACE[data]
-    blank = np.concatenate([[True], space, [True]])
+def word_bounds(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of consecutive texts start and end; ``space`` says which bytes part words."""
+    blank = space[data]
+    around = np.concatenate([[True], blank, [True]])
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True  # a text ends words too
-    inside = ~space
-    start = np.flatnonzero(inside & (blank[:-2] | edge[:-1]))
-    end = np.flatnonzero(inside & (blank[2:] | edge[1:])) + 1
+    start = np.flatnonzero(~blank & (around[:-2] | edge[:-1]))
+    end = np.flatnonzero(~blank & (around[2:] | edge[1:])) + 1
+    return start, end
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, A-Z taken as a-z: differences of running sums, moved back to place 0."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * _power("on", _STEP, len(data)), out=sums[1:])
     back = _power("back", _STEP_BACK, len(data) + 1)
-    hashes = mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(start, bounds))
+    return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of consecutive texts, and the words of each text."""
+    start, end = word_bounds(data, bounds)
+    return span_hashes(data, start, end), np.diff(np.searchsorted(start, bounds))
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:

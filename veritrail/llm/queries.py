@@ -3,6 +3,7 @@
 from . import (
     op1_mixing,
     op2_hosts,
+    op3_toxicity,
     op4_warc,
     op5_superminhash,
     op6_language,
@@ -15,6 +16,7 @@ from . import (
 _MODULES = (
     op1_mixing,
     op2_hosts,
+    op3_toxicity,
     op4_warc,
     op5_superminhash,
     op6_language,
