@@ -1,37 +1,546 @@
-"""Every registered query of the engine with the SQL it must equal."""
+"""Every registered query of the engine, with the SQL it must equal.
+
+The tables are a star schema with an event stream, so each operator is rendered on them: orders stand for records,
+customers for entities, order dates for credentials, events for shifts. The operators' own functions do the work.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Codes
+from ..functions import dates, names, shifts, similarity, text
+from ..operators import golden as golden_ops
+from ..operators.issues import fingerprint
+from ..operators.link import name_pairs
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
-def staffing_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional sums and a distinct head count per segment and priority, cancelled orders left out."""
-    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    price = F.col("o_totalprice")
-    return (
-        orders.join(customers, orders.o_custkey == customers.c_custkey)
-        .groupBy(F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"))
-        .agg(
-            F.countDistinct("o_custkey").alias("headcount"),
-            F.round(F.sum(F.when(F.col("o_orderstatus") == "F", price).otherwise(0.0)), 2).alias("paid"),
-            F.round(F.sum(F.when(F.col("o_orderstatus") == "O", price).otherwise(0.0)), 2).alias("scheduled"),
-        )
-    )
+def query(sql: str | None = None, *days: str):
+    """Register a function under its own name, with its SQL if it can be said in SQL.
+
+    ``days`` are date columns, which both sides return as text.
+    """
+
+    def keep(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("string") for c in days}) if days else df
+
+        run.__doc__ = fn.__doc__
+        QUERIES[fn.__name__] = run
+        if sql:
+            texts = ", ".join(f"{c}::VARCHAR AS {c}" for c in days)
+            ORACLE_SQL[fn.__name__] = f"SELECT * REPLACE ({texts}) FROM ({sql})" if days else sql
+        return run
+
+    return keep
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def _day(c: str) -> Column:
+    return F.col(c).cast("date")
+
+
+AS_OF = "DATE '2001-08-01'"
+_AS_OF = lambda: F.lit("2001-08-01").cast("date")
+
+# --- rules over one table
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_key(spark, d):
+    """A key that several rows have."""
+    rows = _t(spark, d, "lineitem", "l_orderkey", "l_linenumber")
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE NOT (c_acctbal >= 0 AND c_acctbal <= 9000)")
+def numeric_range(spark, d):
+    return _t(spark, d, "customer", "c_custkey", "c_acctbal").filter(~F.col("c_acctbal").between(0, 9000))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS shipped, o_orderdate::DATE AS ordered
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate::DATE < o_orderdate::DATE""", "shipped", "ordered")
+def date_order(spark, d):
+    lines = _t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate")
+    orders = _t(spark, d, "orders", "o_orderkey", "o_orderdate")
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    return rows.select("l_orderkey", "l_linenumber", _day("l_shipdate").alias("shipped"), _day("o_orderdate").alias("ordered")).filter("shipped < ordered")
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderdate::DATE > DATE '2000-12-31'", "day")
+def future_date(spark, d):
+    return _t(spark, d, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", _day("o_orderdate").alias("day")).filter("day > DATE '2000-12-31'")
+
+
+@query(f"""
+    SELECT o_custkey, max(o_orderdate)::DATE AS last_day, date_diff('day', max(o_orderdate)::DATE, {AS_OF})::BIGINT AS age
+    FROM orders GROUP BY 1 HAVING date_diff('day', max(o_orderdate)::DATE, {AS_OF}) > 90""", "last_day")
+def stale(spark, d):
+    last = _t(spark, d, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey").agg(F.max("o_orderdate").cast("date").alias("last_day"))
+    return last.withColumn("age", F.datediff(_AS_OF(), "last_day").cast("long")).filter("age > 90")
+
+
+@query("SELECT c_custkey, 'balance' AS field FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'segment' FROM customer WHERE c_mktsegment = 'BUILDING'")
+def required(spark, d):
+    """One finding for each field that counts as missing, from one scan."""
+    rows = _t(spark, d, "customer", "c_custkey", "c_acctbal", "c_mktsegment")
+    gone = F.array_compact(F.array(F.when(F.col("c_acctbal") < 0, F.lit("balance")), F.when(F.col("c_mktsegment") == "BUILDING", F.lit("segment"))))
+    return rows.select("c_custkey", F.explode(gone).alias("field"))
+
+
+@query("SELECT s_suppkey, strip_accents(lower(s_name)) AS name FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
+def top_k(spark, d):
+    rows = _t(spark, d, "supplier").filter("s_acctbal > 0").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(10)
+    return rows.select("s_suppkey", F.lower("s_name").alias("name"))
+
+
+@query(f"""
+    SELECT user_id, week, round(sum(value), 2) AS total FROM (SELECT user_id, date_trunc('week', ts)::DATE AS week, value FROM events)
+    GROUP BY 1, 2 HAVING round(sum(value), 2) > 100""", "week")
+def overtime(spark, d):
+    rows = _t(spark, d, "events", "user_id", "ts", "value").groupBy("user_id", F.date_trunc("week", "ts").cast("date").alias("week"))
+    return rows.agg(F.round(F.sum("value"), 2).alias("total")).filter("total > 100")
+
+
+@query("""
+    SELECT user_id, ts AS start_ts, next_ts FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events)
+    WHERE next_ts < ts + INTERVAL 30 MINUTE""")
+def overlap(spark, d):
+    """Neighbours in time that run into each other."""
+    turn = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = _t(spark, d, "events", "user_id", "ts", "event_id").withColumn("next_ts", F.lead("ts").over(turn))
+    return rows.filter(F.col("next_ts") < F.col("ts") + F.expr("INTERVAL 30 MINUTES")).select("user_id", F.col("ts").alias("start_ts"), "next_ts")
+
+
+# --- rules across tables
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1998)")
+def missing_from(spark, d):
+    orders = _t(spark, d, "orders", "o_custkey", "o_orderdate").filter(F.year("o_orderdate") == 1998)
+    return _t(spark, d, "customer", "c_custkey", "c_name").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def not_in_anchor(spark, d):
+    lines = _t(spark, d, "lineitem", "l_orderkey")
+    return _t(spark, d, "orders", "o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr') AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_value(spark, d):
+    return _t(spark, d, "documents", "doc_id", "lang").filter(F.col("lang").isin("en", "fr")).join(_t(spark, d, "labels", "doc_id"), "doc_id", "left_anti")
+
+
+@query("""
+    SELECT l_orderkey, count(DISTINCT l_linestatus) AS n, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS vals
+    FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) > 1""")
+def field_conflict(spark, d):
+    rows = _t(spark, d, "lineitem", "l_orderkey", "l_linestatus").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linestatus")).alias("v"))
+    return rows.filter(F.size("v") > 1).select("l_orderkey", F.size("v").cast("long").alias("n"), F.array_join("v", ",").alias("vals"))
+
+
+@query(f"""
+    SELECT o_orderkey, date_diff('day', {AS_OF}, o_orderdate::DATE + 400)::BIGINT AS days_left,
+           CASE WHEN date_diff('day', {AS_OF}, o_orderdate::DATE + 400) < 0 THEN 'EXPIRED' WHEN date_diff('day', {AS_OF}, o_orderdate::DATE + 400) <= 30 THEN '<30 days'
+                WHEN date_diff('day', {AS_OF}, o_orderdate::DATE + 400) <= 90 THEN '<90 days' ELSE 'ok' END AS status FROM orders""")
+def expiry_buckets(spark, d):
+    rows = _t(spark, d, "orders", "o_orderkey", "o_orderdate")
+    rows = rows.select("o_orderkey", F.datediff(F.date_add(_day("o_orderdate"), 400), _AS_OF()).cast("long").alias("days_left"))
+    return rows.withColumn("status", dates.expiry_bucket(F.col("days_left")))
+
+
+@query("""
+    SELECT o_custkey, round(sum(l_quantity), 2) AS hours, count(DISTINCT l_shipdate::DATE) AS days, min(l_shipdate)::DATE AS first_day
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate::DATE > o_orderdate::DATE + 90 AND l_quantity > 0 GROUP BY 1""", "first_day")
+def activity_after_expiry(spark, d):
+    lines = _t(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_quantity").filter("l_quantity > 0")
+    orders = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    late = lines.join(orders, lines.l_orderkey == orders.o_orderkey).filter(_day("l_shipdate") > F.date_add(_day("o_orderdate"), 90))
+    return late.groupBy("o_custkey").agg(F.round(F.sum("l_quantity"), 2).alias("hours"), F.countDistinct(_day("l_shipdate")).alias("days"), F.min("l_shipdate").cast("date").alias("first_day"))
+
+
+@query("""
+    SELECT o_orderkey, o_totalprice AS paid, round(coalesce(sum(l_extendedprice), 0), 2) AS scheduled FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
+    GROUP BY 1, 2 HAVING abs(o_totalprice - round(coalesce(sum(l_extendedprice), 0), 2)) > 0.5""")
+def hours_reconcile(spark, d):
+    lines = _t(spark, d, "lineitem", "l_orderkey", "l_extendedprice").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"))
+    orders = _t(spark, d, "orders", "o_orderkey", "o_totalprice")
+    rows = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+    rows = rows.select("o_orderkey", F.col("o_totalprice").alias("paid"), F.round(F.coalesce("s", F.lit(0.0)), 2).alias("scheduled"))
+    return rows.filter(F.abs(F.col("paid") - F.col("scheduled")) > 0.5)
+
+
+_PERIODS = "SELECT DISTINCT user_id, date_trunc('week', ts)::DATE AS a, date_trunc('week', ts)::DATE + 4 AS b FROM events WHERE event_type = 'click'"
+
+
+def _periods(spark, d):
+    week = F.date_trunc("week", "ts").cast("date")
+    rows = _t(spark, d, "events", "user_id", "ts", "event_type").filter("event_type = 'click'")
+    return rows.select("user_id", week.alias("a"), F.date_add(week, 4).alias("b")).distinct()
+
+
+@query(f"""
+    SELECT p.user_id, p.a, count(e.event_id) AS n, round(coalesce(sum(e.value), 0), 2) AS total FROM ({_PERIODS}) p
+    LEFT JOIN events e ON e.user_id = p.user_id AND e.ts::DATE BETWEEN p.a AND p.b GROUP BY 1, 2""", "a")
+def range_join(spark, d):
+    """Events inside periods of the same user: an equi join with a range beside it."""
+    e = _t(spark, d, "events", "user_id", "event_id", "ts", "value").withColumnRenamed("user_id", "who")
+    on = (F.col("who") == F.col("user_id")) & _day("ts").between(F.col("a"), F.col("b"))
+    joined = _periods(spark, d).join(e, on, "left").groupBy("user_id", "a")
+    return joined.agg(F.count("event_id").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 2).alias("total"))
+
+
+@query(f"SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM ({_PERIODS}) p WHERE p.user_id = e.user_id AND e.ts::DATE BETWEEN p.a AND p.b)")
+def range_anti_join(spark, d):
+    e = _t(spark, d, "events", "event_id", "user_id", "ts").alias("e")
+    on = (F.col("e.user_id") == F.col("p.user_id")) & F.col("e.ts").cast("date").between(F.col("p.a"), F.col("p.b"))
+    return e.join(_periods(spark, d).alias("p"), on, "left_anti").select("event_id", "user_id")
+
+
+# --- golden records, votes, reports
+
+
+@query("""
+    SELECT o_custkey, o_orderpriority AS priority FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, min(o_orderkey)) AS k
+    FROM orders GROUP BY 1, 2) WHERE k = 1""")
+def golden_pick(spark, d):
+    """The commonest value of an entity, the first seen among equals."""
+    return _survivors(spark, d).select(F.col("entity_key").cast("long").alias("o_custkey"), F.col("value").alias("priority"))
+
+
+def _survivors(spark, d):
+    rows = _t(spark, d, "orders", "o_custkey", "o_orderpriority", "o_orderkey")
+    rows = rows.select(F.col("o_custkey").cast("string").alias("entity_key"), F.lit("priority").alias("field"), F.lit("orders").alias("source"), F.lit(0).alias("rank"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("at"))
+    return golden_ops.survivors(rows)
+
+
+@query("""
+    WITH v AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, first) AS k FROM v)
+    SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY first) AS losing FROM k WHERE k > 1 GROUP BY 1""")
+def conflicts_list(spark, d):
+    rows = _survivors(spark, d).filter(F.size("conflicts") > 0)
+    return rows.select(F.col("entity_key").cast("long").alias("o_custkey"), F.array_join(F.transform("conflicts", lambda c: c["value"]), ",").alias("losing"))
+
+
+@query("""
+    WITH v AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    t AS (SELECT *, max(n) OVER (PARTITION BY l_orderkey) AS top FROM v)
+    SELECT l_orderkey, CASE WHEN count(*) FILTER (n = top) = 1 THEN max(CASE WHEN n = top THEN l_returnflag END) END AS winner FROM t GROUP BY 1""")
+def majority_vote(spark, d):
+    """The one commonest value, or none where several are equally common."""
+    votes = _t(spark, d, "lineitem", "l_orderkey", "l_returnflag").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    rows = votes.groupBy("l_orderkey").agg(F.max(F.struct("n", "l_returnflag")).alias("top"), F.collect_list("n").alias("all"))
+    alone = F.size(F.filter("all", lambda n: n == F.col("top.n"))) == 1
+    return rows.select("l_orderkey", F.when(alone, F.col("top.l_returnflag")).alias("winner"))
+
+
+@query("""
+    SELECT c_mktsegment AS segment, o_orderpriority AS priority, count(DISTINCT o_custkey) AS headcount,
+           round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS paid, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END), 2) AS scheduled
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT (o_orderdate::DATE > DATE '2000-12-31' AND c_acctbal < 0) GROUP BY 1, 2""")
+def staffing_grid(spark, d):
+    """Heads and conditional sums by two keys, some rows left out by a fact of their entity."""
+    customers = _t(spark, d, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
+    orders = _t(spark, d, "orders", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
+    rows = orders.join(customers, orders.o_custkey == customers.c_custkey).filter(~((_day("o_orderdate") > "2000-12-31") & (F.col("c_acctbal") < 0)))
+    of = lambda s: F.round(F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")).otherwise(0.0)), 2)
+    keys = [F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority")]
+    return rows.groupBy(*keys).agg(F.countDistinct("o_custkey").alias("headcount"), of("F").alias("paid"), of("O").alias("scheduled"))
+
 
+@query("SELECT ts::DATE AS day, event_type, round(sum(value), 2) AS total FROM events GROUP BY 1, 2", "day")
+def daily_hours(spark, d):
+    return _t(spark, d, "events", "ts", "event_type", "value").groupBy(_day("ts").alias("day"), "event_type").agg(F.round(F.sum("value"), 2).alias("total"))
 
-QUERIES = {"staffing_grid": staffing_grid}
 
-ORACLE_SQL = {
-    "staffing_grid": """
-        SELECT c_mktsegment AS segment, o_orderpriority AS priority, count(DISTINCT o_custkey) AS headcount,
-               round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS paid,
-               round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END), 2) AS scheduled
-        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
-}
+@query("""
+    SELECT ts::DATE AS day, round(coalesce(sum(value) FILTER (event_type = 'click'), 0), 2) AS click, round(coalesce(sum(value) FILTER (event_type = 'view'), 0), 2) AS view,
+           round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 2) AS purchase FROM events GROUP BY 1""", "day")
+def pivot_daily(spark, d):
+    rows = _t(spark, d, "events", "ts", "event_type", "value").groupBy(_day("ts").alias("day")).pivot("event_type", ["click", "view", "purchase"])
+    return rows.agg(F.round(F.sum("value"), 2)).na.fill(0.0)
+
+
+@query(f"""
+    WITH c AS (SELECT c_custkey, min(o_orderdate)::DATE + 1500 AS expires FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+    SELECT c.c_custkey, expires, date_diff('day', {AS_OF}, expires)::BIGINT AS days_left, count(*) FILTER (o_orderdate::DATE > expires) AS after_expiry,
+           min(o_orderdate::DATE) FILTER (o_orderdate::DATE >= DATE '2000-01-01') AS next_day FROM c JOIN orders ON o_custkey = c.c_custkey GROUP BY 1, 2""", "expires", "next_day")
+def credentials_shape(spark, d):
+    """An expiry per entity with counts of what came after it and the next event: one join, conditional sums."""
+    orders = _t(spark, d, "orders", "o_custkey", "o_orderdate").select(F.col("o_custkey").alias("c_custkey"), _day("o_orderdate").alias("day"))
+    until = orders.groupBy("c_custkey").agg(F.date_add(F.min("day"), 1500).alias("expires"))
+    rows = until.join(orders, "c_custkey").groupBy("c_custkey", "expires")
+    rows = rows.agg(F.count_if(F.col("day") > F.col("expires")).alias("after_expiry"), F.min(F.when(F.col("day") >= "2000-01-01", F.col("day"))).alias("next_day"))
+    return rows.withColumn("days_left", F.datediff("expires", _AS_OF()).cast("long"))
+
+
+@query("""
+    WITH v AS (SELECT DISTINCT l_orderkey, l_suppkey % 3 AS src, l_returnflag AS val FROM lineitem),
+    t AS (SELECT l_orderkey, val, count(*) AS n FROM v GROUP BY 1, 2),
+    w AS (SELECT l_orderkey, CASE WHEN count(*) FILTER (n = top) = 1 THEN max(CASE WHEN n = top THEN val END) END AS winner, count(*) AS vals
+          FROM (SELECT *, max(n) OVER (PARTITION BY l_orderkey) AS top FROM t) GROUP BY 1),
+    s AS (SELECT DISTINCT l_orderkey FROM lineitem),
+    o AS (SELECT l_orderkey, src, count(*) AS n, max(val) AS val FROM v GROUP BY 1, 2)
+    SELECT s.l_orderkey, x.src::BIGINT AS src, CASE WHEN o.src IS NULL THEN 'missing' WHEN vals > 1 AND (winner IS NULL OR o.n > 1 OR o.val <> winner) THEN 'differs' ELSE 'agrees' END AS status
+    FROM s CROSS JOIN (SELECT unnest([0, 1, 2]) AS src) x LEFT JOIN o ON o.l_orderkey = s.l_orderkey AND o.src = x.src JOIN w ON w.l_orderkey = s.l_orderkey""")
+def agreement_status(spark, d):
+    """Does each source say what most sources say about an entity?"""
+    rows = _t(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_returnflag")
+    votes = rows.select("l_orderkey", (F.col("l_suppkey") % 3).alias("src"), F.col("l_returnflag").alias("val")).distinct()
+    tally = votes.groupBy("l_orderkey", "val").agg(F.count(F.lit(1)).alias("n"))
+    poll = tally.groupBy("l_orderkey").agg(F.max(F.struct("n", "val")).alias("top"), F.collect_list("n").alias("all"))
+    alone = F.size(F.filter("all", lambda n: n == F.col("top.n"))) == 1
+    poll = poll.select("l_orderkey", F.when(alone, F.col("top.val")).alias("winner"), F.size("all").alias("vals"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("src"))
+    own = votes.groupBy("l_orderkey", "src").agg(F.collect_set("val").alias("own"))
+    odd = (F.col("vals") > 1) & (F.col("winner").isNull() | (F.size("own") > 1) | ~F.array_contains("own", F.col("winner")))
+    status = F.when(F.col("own").isNull(), "missing").when(odd, "differs").otherwise("agrees")
+    return poll.join(own, ["l_orderkey", "src"], "left").select("l_orderkey", "src", status.alias("status"))
+
+
+@query("""
+    SELECT 'status' AS kind, o_orderstatus AS name, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2""")
+def summary_counters(spark, d):
+    rows = _t(spark, d, "orders", "o_orderstatus", "o_orderpriority")
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (("status", "o_orderstatus"), ("priority", "o_orderpriority"))])
+    return rows.select(F.inline(pairs)).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name AS nation, count(DISTINCT s_suppkey) AS people FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0 GROUP BY 1")
+def capacity(spark, d):
+    s, n = _t(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal"), _t(spark, d, "nation", "n_nationkey", "n_name")
+    return s.filter("s_acctbal >= 0").join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("nation")).agg(F.countDistinct("s_suppkey").alias("people"))
+
+
+@query("SELECT DISTINCT n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0")
+def not_counted(spark, d):
+    s, n = _t(spark, d, "supplier", "s_nationkey", "s_acctbal"), _t(spark, d, "nation", "n_nationkey", "n_name")
+    return s.filter("s_acctbal < 0").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("nation")).distinct()
+
+
+@query("SELECT min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day, count(*) AS n FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1998-07-01' AND DATE '1998-09-30'", "first_day", "last_day")
+def coverage(spark, d):
+    """A quarter's rows: the bounds reach the scan."""
+    start, end = dates.quarter_bounds("1998Q3")
+    rows = _t(spark, d, "orders", "o_orderdate").filter(_day("o_orderdate").between(start, end))
+    return rows.agg(F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day"), F.count(F.lit(1)).alias("n"))
+
+
+# --- identity, sets, order
+
+
+@query("SELECT doc_id, substr(sha1(text), 1, 16) AS fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def dedupe_keep_first(spark, d):
+    rows = _t(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha1("text").alias("h"))
+    return rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.substring("h", 1, 16).alias("fingerprint"))
+
+
+@query("SELECT o_orderkey, substr(sha1('stale|' || o_custkey::VARCHAR || '||' || o_orderkey::VARCHAR), 1, 16) AS fingerprint FROM orders")
+def issue_fingerprint(spark, d):
+    rows = _t(spark, d, "orders", "o_orderkey", "o_custkey").withColumns({"rule_id": F.lit("stale"), "field": F.lit(None).cast("string")})
+    return rows.select("o_orderkey", fingerprint("rule_id", "o_custkey", "field", "o_orderkey").alias("fingerprint"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+def latest_decision(spark, d):
+    """The newest row of each key, by a sum instead of a sort."""
+    rows = _t(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate").groupBy("o_custkey")
+    return rows.agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("m")).select("o_custkey", "m.o_orderkey", "m.o_orderstatus")
+
+
+@query("SELECT o_orderkey AS k FROM orders UNION ALL SELECT l_orderkey FROM lineitem")
+def union_records(spark, d):
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("k")).unionByName(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")))
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def intersect_keys(spark, d):
+    rows = _t(spark, d, "orders", "o_custkey", "o_orderstatus")
+    one = lambda s: rows.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return one("F").intersect(one("P"))
+
+
+@query("SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
+def except_keys(spark, d):
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("k")).subtract(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")))
+
+
+@query("""
+    SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey) AS place
+    FROM orders ORDER BY place LIMIT 100""")
+def issue_order(spark, d):
+    """The first hundred of a severity order; only they are numbered."""
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    rows = _t(spark, d, "orders", "o_orderkey", "o_orderpriority").orderBy(rank, "o_orderkey").limit(100)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(rank, "o_orderkey")).cast("long"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_field(spark, d):
+    return _t(spark, d, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+# --- functions
+
+_CLEAN = r"trim(regexp_replace(text, '[\s\x{00a0}]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, CASE WHEN lower({_CLEAN}) IN ('', 'nan', 'none', 'null', 'n/a', 'na', '-', '--') THEN '' ELSE {_CLEAN} END AS t FROM documents")
+def clean(spark, d):
+    return _t(spark, d, "documents", "doc_id", "text").select("doc_id", text.clean(F.col("text")).alias("t"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents")
+def simplify(spark, d):
+    return _t(spark, d, "documents", "doc_id", "text").select("doc_id", text.simplify(F.col("text")).alias("t"))
+
+
+@query("SELECT p_partkey, replace(trim(regexp_replace(lower(strip_accents(p_type)), '[^a-z0-9]+', ' ', 'g')), ' ', '_') AS k FROM part")
+def header_key(spark, d):
+    return _t(spark, d, "part", "p_partkey", "p_type").select("p_partkey", text.header_key(F.col("p_type")).alias("k"))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS day, false AS bad FROM orders", "day")
+def parse_date(spark, d):
+    """Dates written in several ways, read back."""
+    forms = ("yyyy-MM-dd", "M/d/yyyy", "MM/dd/yy", "d-MMM-yyyy", "MMMM d, yyyy", "yyyyMMdd", "MM.dd.yyyy", "yyyy/M/d")
+    rows = _t(spark, d, "orders", "o_orderkey", "o_orderdate")
+    written = F.coalesce(*[F.when(F.col("o_orderkey") % len(forms) == k, F.date_format("o_orderdate", f)) for k, f in enumerate(forms)])
+    read = rows.select("o_orderkey", dates.parse_date(written).alias("p"))
+    return read.select("o_orderkey", F.col("p.value").alias("day"), F.col("p.error").isNotNull().alias("bad"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS n, o_orderkey % 7 = 0 AS bad FROM orders")
+def parse_number(spark, d):
+    rows = _t(spark, d, "orders", "o_orderkey", "o_totalprice")
+    written = F.when(F.col("o_orderkey") % 7 == 0, F.lit("about ten")).otherwise(F.format_number("o_totalprice", 2))
+    read = rows.select("o_orderkey", text.parse_number(written).alias("p"))
+    return read.select("o_orderkey", F.col("p.value").alias("n"), F.col("p.error").isNotNull().alias("bad"))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_custkey::VARCHAR || '-12' ELSE '718-' || substr(lpad(c_custkey::VARCHAR, 7, '5'), 1, 3) || '-' || substr(lpad(c_custkey::VARCHAR, 7, '5'), 4, 4) END AS phone,
+           c_custkey % 5 = 0 AS bad FROM customer""")
+def parse_phone(spark, d):
+    rows, key = _t(spark, d, "customer", "c_custkey"), F.col("c_custkey").cast("string")
+    whole = F.concat(F.lit("1 (718) "), F.lpad(key, 7, "5"))
+    read = rows.select("c_custkey", text.parse_phone(F.when(F.col("c_custkey") % 5 == 0, F.concat(key, F.lit("-12"))).otherwise(whole)).alias("p"))
+    return read.select("c_custkey", F.col("p.value").alias("phone"), F.col("p.error").isNotNull().alias("bad"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'X-' || s_suppkey ELSE 'RN-' || lpad(s_suppkey::VARCHAR, 6, '0') END AS id, s_suppkey % 4 = 0 AS bad FROM supplier")
+def parse_identifier(spark, d):
+    rows, key = _t(spark, d, "supplier", "s_suppkey"), F.col("s_suppkey").cast("string")
+    written = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("x"), key)).otherwise(F.concat(F.lit(" rn "), F.lpad(key, 6, "0"), F.lit(".")))
+    read = rows.select("s_suppkey", text.parse_identifier(written, r"RN-\d{4,}", True).alias("p"))
+    return read.select("s_suppkey", F.col("p.value").alias("id"), F.col("p.error").isNotNull().alias("bad"))
+
+
+def _priorities() -> Codes:
+    return Codes.of({"HI": {"label": "Pressing", "aliases": ["1-URGENT", "High"]}, "LO": {"label": "Can wait", "aliases": ["Not Specified"]}})
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'HI' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'LO' ELSE o_orderpriority END AS code,
+           o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED') AS bad FROM orders""")
+def code_map(spark, d):
+    read = _t(spark, d, "orders", "o_orderkey", "o_orderpriority").select("o_orderkey", text.parse_code(F.col("o_orderpriority"), _priorities()).alias("p"))
+    return read.select("o_orderkey", F.col("p.value").alias("code"), F.col("p.error").isNotNull().alias("bad"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE o_orderstatus END AS label FROM orders")
+def code_labels(spark, d):
+    codes = Codes.of({"F": {"label": "Finished"}, "O": {"label": "Open"}})
+    return _t(spark, d, "orders", "o_orderkey", "o_orderstatus").select("o_orderkey", text.code_label(F.col("o_orderstatus"), codes).alias("label"))
+
+
+@query("""
+    SELECT c_custkey, split_part(c_name, '#', 1) AS first, ltrim(split_part(c_name, '#', 2), '0') AS last,
+           trim(regexp_replace(lower(split_part(c_name, '#', 1)), '[^a-z0-9]+', ' ', 'g') || ' ' || ltrim(split_part(c_name, '#', 2), '0')) AS key FROM customer""")
+def name_split_build(spark, d):
+    rows = _t(spark, d, "customer", "c_custkey", "c_name")
+    written = F.concat(F.ltrim(F.split("c_name", "#")[1], F.lit("0")), F.lit(",  "), F.split("c_name", "#")[0])
+    split = rows.select("c_custkey", names.split_name(written).alias("n"))
+    return split.select("c_custkey", "n.first", "n.last", names.build_name(F.col("n.first"), F.col("n.last"), {})["key"].alias("key"))
+
+
+@query()
+def name_similarity(spark, d):
+    """All pairs of distinct part names that are alike, found by the blocked search of the linker."""
+    names_of = _t(spark, d, "part", "p_name").select(F.lower("p_name").alias("name")).distinct()
+    pairs = name_pairs(names_of, 0.69)
+    return pairs.select("a", "b", F.round(similarity.native_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query("""
+    SELECT event_id, h AS start_hour, (h + 8) % 24 AS end_hour, 8.0::DOUBLE AS hours FROM (SELECT event_id, hour(ts)::DOUBLE AS h FROM events)""")
+def shift_parse(spark, d):
+    """Shift codes written from the hour of an event, and read back."""
+    rows = _t(spark, d, "events", "event_id", "ts").select("event_id", F.hour("ts").alias("h"))
+    clock = lambda h: F.concat(F.when(h % 12 == 0, 12).otherwise(h % 12).cast("string"), F.when(h % 24 < 12, "a").otherwise("p"))
+    read = rows.select("event_id", shifts.parse_shift(F.concat(clock(F.col("h")), F.lit("-"), clock((F.col("h") + 8) % 24))).alias("s"))
+    return read.select("event_id", F.col("s.start").alias("start_hour"), F.col("s.end").alias("end_hour"), shifts.length(F.col("s.start"), F.col("s.end")).alias("hours"))
+
+
+@query("""
+    SELECT user_id, day, n FROM (SELECT user_id, count(*) FILTER (isodow(ts) = 1) AS mon, count(*) FILTER (isodow(ts) = 2) AS tue, count(*) FILTER (isodow(ts) = 3) AS wed FROM events GROUP BY 1)
+    UNPIVOT (n FOR day IN (mon, tue, wed)) WHERE n > 0""")
+def unpivot_grid(spark, d):
+    """A column per day turned into a row per day, empty cells left out."""
+    rows = _t(spark, d, "events", "user_id", "ts").groupBy("user_id")
+    grid = rows.agg(*[F.count_if(F.dayofweek("ts") == k).alias(n) for k, n in ((2, "mon"), (3, "tue"), (4, "wed"))])
+    return grid.unpivot("user_id", ["mon", "tue", "wed"], "day", "n").filter("n > 0")
+
+
+@query("""
+    SELECT event_id, ts::DATE::TIMESTAMP + INTERVAL 22 HOUR AS start_ts, ts::DATE::TIMESTAMP + INTERVAL 30 HOUR AS end_ts FROM events""")
+def shift_times(spark, d):
+    """A night shift of the event's day ends on the next."""
+    from ..operators.events import shift_times as times
+
+    rows = _t(spark, d, "events", "event_id", "ts")
+    start, end = times(_day("ts"), F.lit(22.0), F.lit(6.0))
+    return rows.select("event_id", start.alias("start_ts"), end.alias("end_ts"))
+
+
+@query()
+def link_ladder(spark, d):
+    """The linker over customers (anchor) and orders of them under shortened names: a link per record."""
+    from ..config import Config
+    from ..operators.link import resolve
+
+    cfg = Config.of(
+        {
+            "sources": {
+                "crm": {"loader": "table", "anchor": True, "fields": {"id": {"type": "string"}, "name": {"type": "person_name"}, "facility": {}, "role": {}}},
+                "web": {"loader": "table", "fields": {"name": {"type": "person_name"}, "facility": {}, "role": {}}},
+            },
+            "entity": {"anchor_key": "id", "support_fields": ["facility", "role"], "thresholds": {"auto": 0.9, "review": 0.75}},
+        }
+    )
+    syllables = ("ba", "ce", "di", "fo", "gu", "ha", "le", "mi", "no", "ru")
+    digits = F.transform(F.split(F.col("k").cast("string"), ""), lambda c: F.element_at(F.array(*map(F.lit, syllables)), c.try_cast("int") + 1))
+    who = F.array_join(F.filter(digits, lambda x: x.isNotNull()), "")
+    suppliers = _t(spark, d, "supplier", "s_suppkey", "s_nationkey").select((F.col("s_suppkey") + 4711).alias("k"), F.col("s_nationkey").cast("string").alias("nation"), F.lit("crm").alias("source"))
+    orders = suppliers.filter("k % 2 = 0").withColumn("source", F.lit("web"))
+    rows = reduce(lambda a, b: a.unionByName(b), [suppliers, orders]).withColumn("name", who)
+    shown = F.when((F.col("source") == "web") & (F.col("k") % 4 == 0), F.substring("name", 1, 7)).otherwise(F.col("name"))
+    norm = F.struct(
+        F.when(F.col("source") == "crm", F.col("k").cast("string")).alias("id"), F.col("name"), F.col("nation").alias("facility"), F.lit("R").alias("role"), F.concat(F.substring("name", 1, 4), F.lit(" "), shown).alias("_name_key"),
+    )
+    records = rows.select(F.concat_ws("|", "source", F.col("k").cast("string")).alias("record_key"), "source", F.lit(0).alias("file_ord"), F.col("k").alias("ord"), norm.alias("norm"))
+    return resolve(cfg, records).select("record_key", "entity_key", "method", "confidence")
