@@ -34,6 +34,15 @@ class Store:
     def _append(self, name: str, schema: str, row: tuple) -> None:
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
 
+    def _write(self, df: DataFrame, path: str, by: str | None = None) -> None:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+        if by:
+            try:
+                self.spark.read.parquet(path)
+            except AnalysisException:  # no rows make no partitions, and then nothing tells the schema
+                df.write.mode("overwrite").parquet(path)
+
     # Snapshots and builds
 
     def last_run(self) -> dict[str, Any] | None:
@@ -45,16 +54,15 @@ class Store:
         """A new version of what was read; the version's number. It becomes current with the next :meth:`add_run`."""
         last = self.last_run()
         version = (last["id"] if last else 0) + 1
-        records.write.mode("overwrite").partitionBy("source").parquet(f"{self.root}/records/{version}")
-        file_issues.write.mode("overwrite").parquet(f"{self.root}/file_issues/{version}")
+        self._write(records, f"{self.root}/records/{version}", "source")
+        self._write(file_issues, f"{self.root}/file_issues/{version}")
         return version
 
     def save_derived(self, tables: dict[str, DataFrame]) -> int:
         last = self.last_run()
         version = (last["id"] if last else 0) + 1
         for name, df in tables.items():
-            writer = df.write.mode("overwrite")
-            (writer.partitionBy("kind") if name == "events" else writer).parquet(f"{self.root}/{name}/{version}")
+            self._write(df, f"{self.root}/{name}/{version}", "kind" if name == "events" else None)
         return version
 
     def add_run(self, version: int, snapshot: int, as_of: date, config: str, files: list, summary: dict) -> None:
