@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,22 @@ def small_enough(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
+_releases: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, release: Callable[[], None] | None = None) -> None:
+    """Called by a Python worker when it starts on a partition: what other operators remember there is let go.
+
+    Workers outlive tasks, and what each operator keeps between partitions (a vocabulary, tables) would add up.
+    """
+    for other in [n for n in _releases if n != name]:
+        _releases.pop(other)()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can give memory back
+            ctypes.CDLL(None).malloc_trim(0)
+    _releases[name] = release or (lambda: None)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow text column as one byte array and the offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,8 +10,8 @@
 4. Only buckets that several representatives share go on, and within a bucket pairs are not listed. First each bucket is a
    star around its most central member (the one whose buckets are the largest in all, so mostly the original of a group
    of copies). Star pairs are confirmed on the full sets, and confirmed links grouped. Then whatever a bucket holds outside
-   the group of its centre is tested against every member of another group, and only that: members that are grouped already
-   need no further link. No bucket is capped.
+   the group of its centre is compared with all that the buckets of that group hold, in blocks of bounded size, from which
+   only links come back: members that are grouped already need no further link. No bucket is capped.
 5. Links become groups by union-find inside each partition and rounds of minimum labels between partitions.
 
 Sets are shingled again for confirmation, of representatives in shared buckets only, and travel as arrays of hashes.
@@ -26,18 +26,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, mixed, runs, small_enough, staged, table, utf8
+from .common import bit_map, claim, mixed, runs, small_enough, staged, table, utf8
 
 SHINGLE = 4
 RANKS, BANDS = 128, 32
 SIMILAR = 80
-#: Signature places of 128 that a pair of different groups must share to be tested at all, in the last step: 0.64, four and
-#: a half standard deviations below 0.8.
-ESTIMATE = 82
 #: Bytes of text that are worked on at once.
 BLOCK = 1 << 20
 _U = np.uint64
@@ -56,7 +54,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     """base ** 0..n-1, modulo 2 ** 64."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * BLOCK), base, np.uint64)
+        have = np.full(max(n, BLOCK + 1), base, np.uint64)
         have[0] = 1
         _powers[name] = have = np.multiply.accumulate(have)
     return have[:n]
@@ -151,23 +149,23 @@ def signed(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
+        claim("shingles", _powers.clear)
         for batch in batches:
             data, bounds = utf8(batch.column("text"))
             for start, end in runs(bounds, BLOCK):
                 own = bounds[start : end + 1]
                 sets = shingle_sets(data[own[0] : own[-1]], own - own[0])
-                digests, keys, lows = [], [], []
+                digests, keys = [], []
                 for at in range(0, len(sets), 256):  # so few that the permutations of their elements fit the memory
                     best = signatures(sets[at : at + 256])
                     full = [len(s) > 0 for s in sets[at : at + 256]]
                     digests += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if f else None for s, f in zip(sets[at : at + 256], full)]
                     keys += [k if f else None for k, f in zip(band_keys(best), full)]
-                    lows += [(b & 0xFF).astype(np.uint8).view(np.int8) if f else None for b, f in zip(best, full)]
                 columns = [batch.column("doc_id").slice(start, end - start), pa.array([len(s) for s in sets], pa.int64())]
-                columns += [pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int8()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "bands", "places"])
+                columns += [pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, n_shingles long, set_id binary, bands array<long>, places array<tinyint>")
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, n_shingles long, set_id binary, bands array<long>")
 
 
 #: Bits that tell whose sets are wanted; a fixed size, whatever the corpus.
@@ -184,6 +182,7 @@ def shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.col("doc_id").bitwiseAND(F.lit(MARKS - 1)).alias("p")), MARKS))
 
     def each(batches):
+        claim("shingles", _powers.clear)
         for batch in batches:
             place = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False)).astype(np.int64) & (MARKS - 1)
             batch = batch.filter(pa.array((sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
@@ -208,6 +207,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
 
 def _forest(batches):
     """Union-find over the links of a partition: every node but the least of its group, with that least node."""
+    claim("shingles", _powers.clear)
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -245,16 +245,64 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(pointed.select("e.u", F.col("e.q").alias("v")).filter("u <> v").distinct())
 
 
-def _alike(x: str, y: str) -> Column:
-    """Places of two signatures that agree."""
-    return F.size(F.filter(F.zip_with(F.col(x), F.col(y), lambda a, b: a == b), lambda same: same))
+#: Documents on either side of a block of comparisons.
+BLOCK_ROWS = 256
+
+
+def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The links of one block: every open document against every other one of another group, by exact intersections.
+
+    The sets of the other side are turned around into postings, and an open document gathers those of its shingles.
+    """
+    one, other = pdf[pdf["open"]], pdf[~pdf["open"]]
+    size = np.array([len(x) for x in other["hashes"]], np.int64)
+    links = []
+    if len(one) and size.sum():
+        shingle = np.concatenate(list(other["hashes"]))
+        order = np.argsort(shingle, kind="stable")
+        owner = np.repeat(np.arange(len(other)), size)[order]
+        words, first, held = np.unique(shingle[order], return_index=True, return_counts=True)
+        reps, groups = other["rep"].to_numpy(), other["group"].to_numpy()
+        for rep, group, own in zip(one["rep"], one["group"], one["hashes"]):
+            own = np.asarray(own)
+            at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+            at = at[words[at] == own]
+            n = held[at]
+            # The postings of all shingles at once: runs of places from each one's first.
+            places = np.arange(n.sum()) + np.repeat(first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            both = np.bincount(owner[places], minlength=len(other))
+            near = (100 * both >= SIMILAR * (len(own) + size - both)) & (groups != group)
+            links += [(min(rep, x), max(rep, x)) for x in reps[near]]
+    return pd.DataFrame(links, columns=["a", "b"]).drop_duplicates()
+
+
+def remaining_links(grouped: DataFrame, middle: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that stars could not show: of documents outside the group of a bucket's centre.
+
+    ``grouped`` has key, rep and group, ``middle`` has key and middle, the centre's group. All buckets with one middle
+    are one neighbourhood, whose open documents are compared with all of it. Neighbourhoods are cut into blocks of
+    bounded size on either side, so none is ever in one task, and only links leave a block.
+    """
+    spread = grouped.join(middle, "key").withColumn("open", F.col("group") != F.col("middle"))
+    keys = spread.filter("open").select("key").distinct()
+    near = spread.join(keys, "key", "left_semi").groupBy("middle", "rep", "group", "open").agg(F.lit(1).alias("_")).drop("_")
+    near = staged(near)
+    size = near.groupBy("middle").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("o"))
+    parts = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    rows = near.join(size.select("middle", parts("n").alias("n"), parts("o").alias("o")), "middle")
+    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "hashes"), "rep")
+    place = lambda n: F.pmod(F.xxhash64("rep", "middle"), F.col(n)).cast("int")
+    columns = ["middle", "rep", "group", "hashes"]
+    asked = rows.filter("open").select(*columns, F.lit(True).alias("open"), place("o").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    held = rows.select(*columns, F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), place("n").alias("j"))
+    return asked.unionByName(held).groupBy("middle", "i", "j").applyInPandas(_compared, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept."""
     rows = staged(signed(docs))
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    classes = staged(known.groupBy("set_id").agg(F.min(F.struct("doc_id", "bands", "places")).alias("m")).select("set_id", F.col("m.doc_id").alias("rep"), "m.bands", "m.places"))
+    classes = staged(known.groupBy("set_id").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_id", F.col("m.doc_id").alias("rep"), "m.bands"))
     in_bands = classes.select("rep", F.explode("bands").alias("key"))
     crowded = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = staged(in_bands.join(crowded, "key"))
@@ -273,18 +321,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = met.join(groups.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
     grouped = grouped.select("key", "rep", F.coalesce("root", "rep").alias("group"))
     middle = centres.join(groups.select(F.col("u").alias("centre"), F.col("v").alias("root")), "centre", "left")
-    middle = middle.select("key", "centre", F.coalesce("root", "centre").alias("middle"))
-    outside = staged(grouped.join(middle, "key").filter(F.col("group") != F.col("middle")).select("key", "rep", "group", "centre"))
-    marks = classes.select("rep", "bands", "places")
-    left = outside.join(marks, "rep").select("key", F.col("rep").alias("a"), F.col("group").alias("ga"), "centre", F.col("bands").alias("ba"), F.col("places").alias("pa"))
-    open_keys = outside.select("key").distinct()
-    right = grouped.join(open_keys, "key").join(marks, "rep").select("key", F.col("rep").alias("b"), F.col("group").alias("gb"), F.col("bands").alias("bb"), F.col("places").alias("pb"))
-    # A pair is taken in the first band that it shares; two that are both outside, from the lesser one only.
-    first = F.element_at(F.array_intersect("ba", "bb"), 1) == F.col("left.key")
-    tested = (F.col("ga") != F.col("gb")) & (F.col("b") != F.col("centre")) & first & (_alike("pa", "pb") >= ESTIMATE)
-    more = left.alias("left").join(right.alias("right"), (F.col("left.key") == F.col("right.key")) & tested)
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = staged(confirmed(more, sets))
+    middle = middle.select("key", F.coalesce("root", "centre").alias("middle"))
+    links = staged(remaining_links(grouped, middle, sets))
     if links.head(1):
         groups = components(groups.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links))
 
