@@ -20,7 +20,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table, utf8
+from .common import claim, table, utf8
 
 # The phrases and labels of the base count.
 BASE = {
@@ -32,10 +32,10 @@ BASE = {
 
 #: Family: (label, names as patterns over words, versions as words, keyword that every name holds).
 FAMILIES = (
-    ("agpl", ("gnu affero general public licen[cs]e", "affero gpl", "agpl", "gnu agpl"), ("3", "3 0", "v3"), ("affero", "agpl")),
-    ("lgpl", ("gnu lesser general public licen[cs]e", "gnu library general public licen[cs]e", "lgpl", "gnu lgpl"), ("2", "2 0", "2 1", "3", "3 0", "v2", "v3"), ("lesser", "library", "lgpl")),
+    ("agpl", ("gnu affero general public licen[cs]e", "affero gpl", "agpl", "gnu agpl"), ("3", "3 0"), ("affero", "agpl")),
+    ("lgpl", ("gnu lesser general public licen[cs]e", "gnu library general public licen[cs]e", "lgpl", "gnu lgpl"), ("2", "2 0", "2 1", "3", "3 0"), ("lesser", "library", "lgpl")),
     ("gfdl", ("gnu free documentation licen[cs]e", "gfdl"), ("1 1", "1 2", "1 3"), ("free documentation", "gfdl")),
-    ("gpl", ("gnu general public licen[cs]e", "gnu gpl", "gnu public licen[cs]e"), ("1", "2", "2 0", "3", "3 0", "v2", "v3"), ("gnu",)),
+    ("gpl", ("gnu general public licen[cs]e", "gnu gpl", "gnu public licen[cs]e"), ("1", "2", "2 0", "3", "3 0"), ("gnu",)),
     ("apache", ("apache software licen[cs]e", "apache licen[cs]e", "asl"), ("1 0", "1 1", "2", "2 0"), ("apache", "asl")),
     ("mit", ("mit licen[cs]e", "mit x11 licen[cs]e", "expat licen[cs]e"), (), ("mit", "expat")),
     ("bsd", ("(?:new|revised|modified|simplified|original) bsd licen[cs]e", "bsd [0-4] clause(?: licen[cs]e)?", "[0-4] clause bsd(?: licen[cs]e)?", "bsd licen[cs]e"), (), ("bsd",)),
@@ -97,8 +97,8 @@ def _signatures() -> list[Signature]:
                 if not grant and " " not in name and "[" not in name and not versions:
                     continue
                 for version in versions:
-                    said = rf"(?: version| v)? {version}" + "(?: or (?:any )?later(?: version)?)?"
-                    tag = f"{label}-{version.removeprefix('v').replace(' ', '.')}"
+                    said = rf"(?: version)? (?:v ?)?{version}" + "(?: or (?:any )?later(?: version)?)?"
+                    tag = f"{label}-{version.replace(' ', '.')}"
                     drafts.append((tag, held, grant + name + said, sure))
                 if " " in name or grant:
                     drafts.append((label, held, grant + name, sure))
@@ -177,6 +177,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def each(batches):
+        claim("licenses")
         for batch in batches:
             data, bounds = utf8(batch.column("text"))
             rows = [scan(data[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
