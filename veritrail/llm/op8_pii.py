@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, staged, table
+from .common import claim, small_enough, staged, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ROUNDS = 5
@@ -128,14 +128,14 @@ def sites(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     out = []
     for m in _TOKEN.finditer(text):
         token = m.group()
-        digits = sum("0" <= c <= "9" for c in token)
-        letters = sum(c.isalpha() for c in token)
-        if digits < 2 or letters < 2:
-            continue
-        known = any(a < m.end() and m.start() < b for a, _, b in base)
-        if known and not _SEED.fullmatch(token):
-            continue
-        out.append((m.start(), m.end(), xxhash.xxh64_intdigest(token) - (1 << 63), bool(_SEED.fullmatch(token)), patterns(text, *m.span())))
+        seed = bool(_SEED.fullmatch(token))
+        if not seed:
+            digits, letters = sum("0" <= c <= "9" for c in token), sum(c.isalpha() for c in token)
+            # What is assigned to a key may look less like an identifier.
+            least = 1 if _KEY.search(text, max(0, m.start() - 48), m.start()) else 2
+            if digits < least or letters < least or any(a < m.end() and m.start() < b for a, _, b in base):
+                continue
+        out.append((m.start(), m.end(), xxhash.xxh64_intdigest(token) - (1 << 63), seed, patterns(text, *m.span())))
     return out
 
 
@@ -152,6 +152,7 @@ def read(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
+        claim("pii")
         for batch in batches:
             bases, found = [], []
             for k in range(0, len(batch), 256):
