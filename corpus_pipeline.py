@@ -17,26 +17,31 @@ from veritrail.llm import common, op1_mixing, op5_superminhash, op6_language, op
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language that is known well enough, go."""
+    common.small_batches(spark)
     return op6_language.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least doc_id stays."""
+    common.small_batches(spark)
     return op5_superminhash.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by their kind; every document stays."""
+    common.small_batches(spark)
     return op8_pii.redacted(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
+    common.small_batches(spark)
     return op1_mixing.curriculum(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids, each a piece of one document."""
+    common.small_batches(spark)
     return op9_packing.pack(docs, keep_ids=True)
 
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, runs, table, utf8
-from .op5_superminhash import span_hashes, word_bounds
+from .common import claim, mixed, runs, table, utf8
+from .op5_superminhash import _powers, span_hashes, word_bounds
 from .op6_language import held_out
 
 CATEGORIES = ("dense", "sustained", "toxic")
@@ -80,6 +80,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 def _count(batches):
     """How many clean and toxic documents hold each feature, summed over a partition."""
+    claim("shingles", _powers.clear)
     held: dict[int, list[np.ndarray]] = {0: [], 1: []}
     for batch in batches:
         kind = [int(bool(x)) for x in batch.column("toxic").to_pylist()]
@@ -158,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         return features, []
 
     def rows(batches):
+        claim("shingles", _powers.clear)
         for batch in batches:
             hits, words, telling, quarters = [], [], [], []
             for _, codes, quarter, n in _documents(batch):
@@ -194,6 +196,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: fl
     names = ["doc_id", *[f"p_{c}" for c in CATEGORIES]]
 
     def score(batches):
+        claim("shingles", _powers.clear)
         for batch in batches:
             p = np.zeros((len(batch), len(CATEGORIES)))
             if len(features):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import claim, staged, table
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 1 << 20
@@ -164,6 +164,7 @@ def archived(pages: DataFrame) -> DataFrame:
     joined = joined.select("page_id", "url", "payload", "digest", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"))
 
     def write(batches):
+        claim("warc")
         parts, size = [], 0
         for batch in batches:
             for k in range(len(batch)):
@@ -188,6 +189,7 @@ def records(archives: DataFrame, payloads: bool = True) -> DataFrame:
     kinds = [types[x.split()[1]] for x in schema.split(", ")]
 
     def read(batches):
+        claim("warc")
         for batch in batches:
             for k in range(len(batch)):
                 found = [x for kind, x in salvage(batch.column("data")[k].as_py() or b"") if kind == "record"]
@@ -199,6 +201,7 @@ def records(archives: DataFrame, payloads: bool = True) -> DataFrame:
 def gaps(archives: DataFrame) -> DataFrame:
     """The log of quarantined bytes: ``source`` of the archive, where each gap starts, its length and the first reason."""
     def read(batches):
+        claim("warc")
         for batch in batches:
             for source, data in zip(batch.column("source").to_pylist(), batch.column("data")):
                 found = [x for kind, x in salvage(data.as_py() or b"") if kind == "gap"]

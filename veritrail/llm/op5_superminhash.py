@@ -37,7 +37,7 @@ SHINGLE = 4
 RANKS, BANDS = 128, 32
 SIMILAR = 80
 #: Bytes of text that are worked on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 #: A random word for each byte, the same for A-Z and a-z; and an odd multiplier for the place in a word.

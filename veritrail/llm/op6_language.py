@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, runs, table, utf8
+from .common import claim, mixed, runs, table, utf8
 
 BUCKETS = 1 << 15
 SAMPLE = 3_000
@@ -106,6 +106,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     chosen = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(span)) < limit[F.col("lang")])
 
     def count(batches):
+        claim("language", _table.clear)
         total = np.zeros((len(place), BUCKETS), np.int64)
         for batch in batches:
             kind = np.array([place[x] for x in batch.column("lang").to_pylist()])
@@ -130,6 +131,7 @@ def classify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bo
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def score(batches):
+        claim("language", _table.clear)
         matrix = sent.value
         for batch in batches:
             n = len(batch)

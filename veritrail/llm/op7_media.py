@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, mixed, runs, staged, table, utf8
+from .common import bit_map, claim, mixed, runs, staged, table, utf8
 
 UNIT = 576
 PAD = 255
@@ -115,6 +115,7 @@ def listed(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
+        claim("media")
         for batch in batches:
             data, bounds = utf8(batch.column("text"))
             for start, end in runs(bounds, 1 << 22):
@@ -152,6 +153,7 @@ def stored(docs: DataFrame, marks: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def write(batches):
+        claim("media")
         bits, pack = sent.value, zstandard.ZstdCompressor(level=LEVEL)
         marked = lambda d: bits[_place(d) >> 3] >> (_place(d) & 7) & 1
         seen: set[bytes] = set()
@@ -210,12 +212,14 @@ def restored(store: DataFrame) -> DataFrame:
     chunks = store.filter(F.col("tag") == CHUNK).dropDuplicates(["key"]).select(F.col("key").alias("digest"), F.col("data").alias("chunk"))
 
     def alone(batches):
+        claim("media")
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = [_read_back(r["file"], r["digests"], r["sizes"], {}, r["data"], unpack) for r in (x for k in range(0, len(batch), 64) for x in batch.slice(k, 64).to_pylist())]
             yield _batch(rows, _READ)
 
     def together(batches):
+        claim("media")
         unpack, head, outside = zstandard.ZstdDecompressor(), None, {}
         close = lambda: [_read_back(head["file"], head["digests"], head["sizes"], outside, head["data"], unpack)] if head else []
         for batch in batches:
