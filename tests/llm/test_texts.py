@@ -181,3 +181,23 @@ def test_contexts_find_unseen_identifiers(spark):
     assert hidden[45] == "say password=[SECRET] now" and hidden[70] == "write to [EMAIL] or [PHONE]" and hidden[91] is None
     assert op8_pii.redacted(docs).columns == docs.columns and op8_pii.redacted(docs).count() == len(texts) + 1
     assert op8_pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_base_spans_seed_patterns(spark):
+    """What stands where known entities stand is found, in any form; words that are mostly followed by others prove nothing."""
+    texts = [f"Contact: me{k}@mail.example.com is the one" for k in range(20)] + [f'{{"login": "+1 (555) 010-99{k:02}"}}' for k in range(20)]
+    texts += [f"reach 10.0.0.{k} today in the 10.0.1.{k}" for k in range(20)] + ["the sea and the hill of the town " * 20]
+    unknown = ["078-05-1120", "hunter2x9", "123456789", "DE89 3704 0044 0532 0130 00", "swordfish"]
+    asked = [f"{before}{x}{after} end" for x in unknown for before, after in (("contact: ", ""), ('"login": "', '"'))] + [f"Reach {x} now" for x in unknown[:4]]
+    clean = ["the 1234567 of the 4929348385146301", "a swordfish", "note: hunter3x9", "reach swordfish", "11 123 45"]
+    got = {r["doc_id"]: r["spans"] for r in op8_pii.personal_data(frame(spark, [*texts, *asked, *clean])).collect()}
+    for k, text in enumerate(asked, len(texts)):
+        x = next(x for x in unknown if x in text)
+        at = text.index(x)
+        assert got[k] == f"secret:{at}:{at + len(x)}", text
+    assert [got[k] for k in range(len(texts) + len(asked), len(got))] == [""] * len(clean)
+
+
+def test_sites_of_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1 " * 150_000, "a=" * 100_000, "k: 1.1.1.1 " * 20_000, "_" * 300_000, "AB 12 " * 50_000, '":' * 100_000):
+        op8_pii.sites(text, op8_pii.base_spans(text))

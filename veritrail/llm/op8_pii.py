@@ -3,13 +3,17 @@
 Base rules find e-mail addresses, IP addresses, card and phone numbers. Beyond them, identifiers of unknown form are
 learned from the corpus itself:
 
-1. While texts are read, every token that could be an identifier (12 characters or more, letters mixed with digits) is
-   noted with the lexical patterns it fills: the key it is assigned to (``password=``), the word before it, its
-   leading capitals, and its alphabet. Tokens of a widely published key format, or inside a base span, are seeds.
+1. While texts are read, every token that could be an identifier is noted with the lexical patterns it fills. A long one
+   (12 characters or more, letters mixed with digits) has the key it is assigned to (``password=``) or the word before
+   it, its leading capitals, and its alphabet. Whatever else is assigned to a key, and any other token with a digit
+   (short, digits only, in groups) after a word, has the key or the word alone. Tokens of a widely published key format
+   and base spans are seeds; of a base span, only the key or the word before it counts.
 2. Patterns and instances form a bipartite graph, kept in Spark. In rounds, a pattern's confidence is the mean score of
-   the distinct instances that fill it (with ``DOUBT`` added to their number, so that rare patterns prove little), and
-   an instance's score is the noisy-or of its patterns; seeds stay at 1.
-3. Instances that end at ``ACCEPT`` or above are personal data of the kind "secret", wherever they stand.
+   the distinct instances that fill it (with ``DOUBT`` added to their number, so that rare patterns prove little, and
+   with every time that its word stands before something else), and an instance's score is the noisy-or of its patterns;
+   seeds stay at 1.
+3. Instances that end at ``ACCEPT`` or above are personal data of the kind "secret", wherever they stand. Those that have
+   no digit or fewer than six letters and digits are instances of one context only, and are not looked for in others.
 
 Texts are read once; the graph holds hashes of instances, not the instances. A pattern that most instances fill (an
 alphabet) is summed by partial aggregation, and its confidence joins back as a table of one row per pattern.
@@ -22,18 +26,22 @@ Other columns are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, small_enough, staged, table
+from .common import claim, staged, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ROUNDS = 5
 DOUBT = 2.0
 ACCEPT = 0.7
+#: Patterns up to which their confidence is sent to every executor.
+PATTERNS = 50_000
 
 # The patterns that the base rules are defined by, in forms that take linear time.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
@@ -45,7 +53,13 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 #: Published key formats: access key ids of a cloud provider, and SHA-1-sized hexadecimal tokens.
 _SEED = re.compile(r"AKIA[0-9A-Z]{16}|[0-9a-f]{40}")
 _TOKEN = re.compile(r"[A-Za-z0-9_-]{12,}")
-_KEY = re.compile(r"([A-Za-z_]{2,32})[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?$")
+_KEY = re.compile(r"([A-Za-z_]{2,32})[\"']?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?$")
+_ASSIGNS = re.compile(r"[=:][\x20\t]{0,3}[\"']?")
+#: Further groups of a number that is written in groups, as those of an IBAN.
+_GROUPS = r"(?:\x20(?:[A-Z]{2,4}\x20)?[A-Z]{0,4}[0-9][A-Z0-9]{0,5}(?![A-Za-z0-9])){0,8}"
+_VALUE = re.compile(r"[A-Z]{0,4}[0-9][A-Z0-9]*(?=\x20)" + _GROUPS + r"(?![^\s\"'`,;<>()\[\]{}|.])|[^\s\"'`,;<>()\[\]{}|]+")
+_NUMBER = re.compile(r"(?<!\w)[A-Za-z_]*[0-9][A-Za-z0-9_]*(?:[./-][A-Za-z0-9_]+)*" + _GROUPS)
+_WORDS = re.compile(r"\w{1,32}")
 _BEFORE = re.compile(r"(\w{1,32})\W{0,3}$")
 _CAPITALS = re.compile(r"[A-Z]{3,6}")
 
@@ -123,9 +137,43 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def sites(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, list[str]]]:
-    """(start, end, hash of the instance, whether it is a seed, its patterns) of each token that may be an identifier."""
-    out = []
+def context(text: str, start: int) -> str | None:
+    """The key or the word before a place, as a pattern."""
+    before = text[max(0, start - 48) : start]
+    if key := _KEY.search(before):
+        return f"key {key[1].lower()}"
+    word = _BEFORE.search(before)
+    return f"word {word[1].lower()}" if word and not word[1].isdigit() else None
+
+
+class Taken:
+    """Spans of a text, asked whether they leave a span free."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k == len(self.ends) or end <= self.starts[k]
+
+
+def _instance(token: str) -> int:
+    return xxhash.xxh64_intdigest(token) - (1 << 63)
+
+
+def sites(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, bool, list[str]]]:
+    """(start, end, hash of the instance, whether it is a seed, whether it is a base span, its patterns) of each token that may be an identifier."""
+    out, spans = [], [(a, b) for a, _, b in base]
+    taken = Taken(spans)
+    for a, b in dict.fromkeys(spans):
+        if pattern := context(text, a):
+            out.append((a, b, _instance(text[a:b]), True, True, [pattern]))
     for m in _TOKEN.finditer(text):
         token = m.group()
         seed = bool(_SEED.fullmatch(token))
@@ -133,54 +181,87 @@ def sites(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
             digits, letters = sum("0" <= c <= "9" for c in token), sum(c.isalpha() for c in token)
             # What is assigned to a key may look less like an identifier.
             least = 1 if _KEY.search(text, max(0, m.start() - 48), m.start()) else 2
-            if digits < least or letters < least or any(a < m.end() and m.start() < b for a, _, b in base):
+            if digits < least or letters < least or not taken.free(*m.span()):
                 continue
-        out.append((m.start(), m.end(), xxhash.xxh64_intdigest(token) - (1 << 63), seed, patterns(text, *m.span())))
+        spans.append(m.span())
+        out.append((*m.span(), _instance(token), seed, False, patterns(text, *m.span())))
+
+    def weak(start: int, end: int) -> None:
+        token, pattern = text[start:end], context(text, start)
+        if token and pattern and taken.free(start, end):
+            spans.append((start, end))
+            known = re.search("[0-9]", token) and sum(c.isalnum() for c in token) >= 6
+            out.append((start, end, _instance(token if known else f"{pattern} {token}"), False, False, [pattern]))
+
+    taken = Taken(spans)
+    for m in _ASSIGNS.finditer(text):
+        if _KEY.search(text, max(0, m.start() - 40), m.end()) and (value := _VALUE.match(text, m.end())):
+            weak(value.start(), value.start() + len(value.group().rstrip(".:!?")))
+    taken = Taken(spans)
+    for m in _NUMBER.finditer(text):
+        weak(*m.span())
     return out
 
 
 SPAN = "array<struct<start:int,rank:int,end:int>>"
-SITE = "array<struct<start:int,end:int,instance:bigint,seed:boolean,patterns:array<string>>>"
+SITE = "array<struct<start:int,end:int,instance:bigint,seed:boolean,known:boolean,patterns:array<string>>>"
+FOLLOWED = "array<struct<pattern:string,n:bigint>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
 _SITE = pa.list_(
-    pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+    pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("known", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 )
+_FOLLOWED = pa.list_(pa.struct([("pattern", pa.string()), ("n", pa.int64())]))
 
 
 def read(docs: DataFrame) -> DataFrame:
-    """doc_id, two hashes that tell rows apart, the base spans and the sites of every row."""
+    """doc_id, two hashes that tell rows apart, the base spans and the sites of every row, and the words of a batch.
+
+    ``followed`` has how often each word stands in a batch of rows; the first row of the batch holds it.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
         claim("pii")
         for batch in batches:
-            bases, found = [], []
+            bases, found, words = [], [], Counter()
             for k in range(0, len(batch), 256):
                 for text in batch.column("text").slice(k, 256).to_pylist():
                     base = base_spans(text) if text else []
                     bases.append([dict(zip(("start", "rank", "end"), s)) for s in base])
-                    some = sites(text, base) if text and re.search("[0-9]", text) else []
-                    found.append([dict(zip(("start", "end", "instance", "seed", "patterns"), s)) for s in some])
-            columns = [batch.column(c) for c in ("doc_id", "_k", "_l")] + [pa.array(bases, _SPAN), pa.array(found, _SITE)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_k", "_l", "base", "sites"])
+                    some = sites(text, base) if text and re.search("[0-9=:]", text) else []
+                    found.append([dict(zip(("start", "end", "instance", "seed", "known", "patterns"), s)) for s in some])
+                    words.update(_WORDS.findall(text.lower()) if text else ())
+            followed = [[{"pattern": f"word {w}", "n": n} for w, n in words.items() if not w.isdigit()]] + [None] * (len(batch) - 1)
+            columns = [batch.column(c) for c in ("doc_id", "_k", "_l")] + [pa.array(bases, _SPAN), pa.array(found, _SITE), pa.array(followed[: len(batch)], _FOLLOWED)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_k", "_l", "base", "sites", "followed"])
 
     keyed = docs.select("doc_id", *row_key(docs), "text")
-    return keyed.mapInArrow(each, f"doc_id {kind}, _k long, _l int, base {SPAN}, sites {SITE}")
+    return keyed.mapInArrow(each, f"doc_id {kind}, _k long, _l int, base {SPAN}, sites {SITE}, followed {FOLLOWED}")
 
 
 def row_key(docs: DataFrame) -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("_k"), F.hash("text", "doc_id").alias("_l")]
 
 
-def scores(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, score) after the pattern-instance graph has been scored ``rounds`` times; ``found`` has site columns."""
+def scores(found: DataFrame, rounds: int = ROUNDS, followed: DataFrame | None = None) -> DataFrame:
+    """(instance, score) after the pattern-instance graph has been scored ``rounds`` times; ``found`` has site columns.
+
+    ``followed`` (pattern, n) says how often patterns were followed by anything.
+    """
     nodes = staged(found.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("seed")))
-    edges = staged(found.select("instance", F.explode("patterns").alias("pattern")).distinct())
+    edges = staged(found.select("instance", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.count(F.lit(1)).alias("n")))
+    others = edges.groupBy("pattern").agg(F.sum("n").alias("own"), F.count(F.lit(1)).alias("filled"))
+    if followed is not None:
+        others = others.join(followed.groupBy("pattern").agg(F.sum("n").alias("n")), "pattern", "left")
+        others = others.withColumn("filled", F.col("filled") + F.greatest(F.coalesce("n", "own") - F.col("own"), F.lit(0)))
+    others = staged(others.select("pattern", "filled"))
+    edges = edges.drop("n")
     scored = nodes.select("instance", F.col("seed").alias("score"))
     for _ in range(rounds):
-        weighed = edges.join(scored, "instance").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + DOUBT)).alias("confidence"))
-        confident = staged(weighed.filter("confidence > 0"))
-        confident = F.broadcast(confident) if small_enough(confident) else confident
+        weighed = edges.join(scored.filter("score > 0"), "instance").groupBy("pattern").agg(F.sum("score").alias("score"))
+        weighed = weighed.join(others, "pattern").select("pattern", (F.col("score") / (F.col("filled") + DOUBT)).alias("confidence"))
+        confident = staged(weighed)
+        confident = F.broadcast(confident) if confident.limit(PATTERNS + 1).count() <= PATTERNS else confident
         doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
         reached = edges.join(confident, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("reached"))
         scored = nodes.join(reached, "instance", "left")
@@ -192,8 +273,9 @@ def found_spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, _k, _l, base (spans of the base rules) and spans (all), for every row."""
     rows = staged(read(docs))
     found = rows.filter(F.size("sites") > 0).select("_k", "_l", F.inline("sites"))
-    accepted = scores(found.select("instance", "seed", "patterns")).filter(F.col("score") >= accept).select("instance")
-    new = found.join(accepted, "instance").groupBy("_k", "_l")
+    graph = scores(found.select("instance", "seed", "patterns"), followed=rows.select(F.inline("followed")))
+    accepted = graph.filter(F.col("score") >= accept).select("instance")
+    new = found.filter("not known").join(accepted, "instance").groupBy("_k", "_l")
     new = new.agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("rank"), "end")).alias("new"))
     return rows.join(new, ["_k", "_l"], "left").select(
         "doc_id", "_k", "_l", "base", F.array_sort(F.when(F.col("new").isNull(), F.col("base")).otherwise(F.concat("base", "new"))).alias("spans")
