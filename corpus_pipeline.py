@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from veritrail.llm import common, op1_mixing, op5_superminhash, op6_language, op8_pii, op9_packing
 
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language that is known well enough, go."""
     common.small_batches(spark)
@@ -22,9 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays."""
+    """Of each group of near-duplicates, by shingles of five words, the document with the least doc_id stays."""
     common.small_batches(spark)
-    return op5_superminhash.deduplicated(docs)
+    return op5_superminhash.deduplicated(docs, SHINGLE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

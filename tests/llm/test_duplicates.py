@@ -103,3 +103,18 @@ def test_signatures_estimate_similarity():
             errors.append((first == second).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
     assert (op.signatures([a]) == op.signatures([a, b])[0]).all(), "a set's signature is its own"
+
+
+def test_the_pipeline_takes_shingles_of_five_words(spark, monkeypatch):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(41)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]])), (3, " ".join([*words, "end"]))]
+    kept = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert kept(op.deduplicated(frame(spark, rows))) == [1]
+    assert kept(corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")) == [1, 2]
+    five = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) > 4 else {tuple(ws)} - {()}
+    monkeypatch.setitem(globals(), "shingles", lambda text: five(WORD.findall((text or "").translate(LOWER))))
+    rows = [r for r in corpus(3) if r[0] is not None]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
+    assert kept(got) == sorted(d for d, _, c in brute(rows) if d == c)

@@ -144,7 +144,7 @@ def band_keys(best: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_id (a digest of the set, null if empty) its band keys and the low bytes of its signature."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -154,7 +154,7 @@ def signed(docs: DataFrame) -> DataFrame:
             data, bounds = utf8(batch.column("text"))
             for start, end in runs(bounds, BLOCK):
                 own = bounds[start : end + 1]
-                sets = shingle_sets(data[own[0] : own[-1]], own - own[0])
+                sets = shingle_sets(data[own[0] : own[-1]], own - own[0], width)
                 digests, keys = [], []
                 for at in range(0, len(sets), 256):  # so few that the permutations of their elements fit the memory
                     best = signatures(sets[at : at + 256])
@@ -172,7 +172,7 @@ def signed(docs: DataFrame) -> DataFrame:
 MARKS = 1 << 26
 
 
-def shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def shingled(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id and the whole set of every document in ``wanted`` (a column of doc_ids, each once).
 
     A bit map of fixed size picks the documents while they are read, so their texts are not shuffled; a join with the
@@ -189,7 +189,7 @@ def shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             data, bounds = utf8(batch.column("text"))
             for start, end in runs(bounds, BLOCK):
                 own = bounds[start : end + 1]
-                sets = [s.view(np.int64) for s in shingle_sets(data[own[0] : own[-1]], own - own[0])]
+                sets = [s.view(np.int64) for s in shingle_sets(data[own[0] : own[-1]], own - own[0], width)]
                 columns = [batch.column("doc_id").slice(start, end - start), pa.array(sets, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hashes"])
 
@@ -298,16 +298,16 @@ def remaining_links(grouped: DataFrame, middle: DataFrame, sets: DataFrame) -> D
     return asked.unionByName(held).groupBy("middle", "i", "j").applyInPandas(_compared, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept."""
-    rows = staged(signed(docs))
+def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id, kept; shingles are ``width`` words."""
+    rows = staged(signed(docs, width))
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     classes = staged(known.groupBy("set_id").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_id", F.col("m.doc_id").alias("rep"), "m.bands"))
     in_bands = classes.select("rep", F.explode("bands").alias("key"))
     crowded = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = staged(in_bands.join(crowded, "key"))
     reps = staged(met.groupBy("rep").agg(F.sum("n").alias("company")))
-    sets = staged(shingled(docs, reps.select(F.col("rep").alias("doc_id"))).dropDuplicates(["doc_id"]))
+    sets = staged(shingled(docs, reps.select(F.col("rep").alias("doc_id")), width).dropDuplicates(["doc_id"]))
 
     centre = F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("c")
     centres = staged(met.join(reps, "rep").groupBy("key").agg(centre).select("key", (-F.col("c.minus")).alias("centre")))
@@ -334,9 +334,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group; columns as in ``docs``."""
-    gone = staged(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct())
+    gone = staged(near_duplicates(docs, width).filter(~F.col("kept")).select("doc_id").distinct())
     return docs.join(F.broadcast(gone) if small_enough(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
