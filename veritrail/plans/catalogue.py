@@ -517,11 +517,13 @@ def shift_times(spark, d):
     return rows.select("event_id", start.alias("start_ts"), end.alias("end_ts"))
 
 
-@query()
-def link_ladder(spark, d):
-    """The linker over customers (anchor) and orders of them under shortened names: a link per record."""
+def ladder_records(spark: SparkSession, d: str):
+    """The configuration and the records of ``link_ladder``: every customer and every order.
+
+    Customers have a first name of their own and the last name of a family of eight; the first hundred are one family.
+    An order has its customer's name in full, with a shortened first name, or with the last name cut.
+    """
     from ..config import Config
-    from ..operators.link import resolve
 
     cfg = Config.of(
         {
@@ -532,15 +534,26 @@ def link_ladder(spark, d):
             "entity": {"anchor_key": "id", "support_fields": ["facility", "role"], "thresholds": {"auto": 0.9, "review": 0.75}},
         }
     )
-    syllables = ("ba", "ce", "di", "fo", "gu", "ha", "le", "mi", "no", "ru")
-    digits = F.transform(F.split(F.col("k").cast("string"), ""), lambda c: F.element_at(F.array(*map(F.lit, syllables)), c.try_cast("int") + 1))
-    who = F.array_join(F.filter(digits, lambda x: x.isNotNull()), "")
-    suppliers = _t(spark, d, "supplier", "s_suppkey", "s_nationkey").select((F.col("s_suppkey") + 4711).alias("k"), F.col("s_nationkey").cast("string").alias("nation"), F.lit("crm").alias("source"))
-    orders = suppliers.filter("k % 2 = 0").withColumn("source", F.lit("web"))
-    rows = reduce(lambda a, b: a.unionByName(b), [suppliers, orders]).withColumn("name", who)
-    shown = F.when((F.col("source") == "web") & (F.col("k") % 4 == 0), F.substring("name", 1, 7)).otherwise(F.col("name"))
-    norm = F.struct(
-        F.when(F.col("source") == "crm", F.col("k").cast("string")).alias("id"), F.col("name"), F.col("nation").alias("facility"), F.lit("R").alias("role"), F.concat(F.substring("name", 1, 4), F.lit(" "), shown).alias("_name_key"),
-    )
-    records = rows.select(F.concat_ws("|", "source", F.col("k").cast("string")).alias("record_key"), "source", F.lit(0).alias("file_ord"), F.col("k").alias("ord"), norm.alias("norm"))
+    k, n = F.col("k"), F.col("o_orderkey")
+    letter = lambda digest: lambda i: F.chr(97 + F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") % 26)
+    word = lambda of, size: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), letter(F.md5(of.cast("string")))), "")
+    family = F.concat(F.lit("family "), F.when(k <= 100, 0).otherwise(F.floor(k / 8) + 1).cast("string"))
+    customers = _t(spark, d, "customer", "c_custkey", "c_nationkey").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("string").alias("nation"))
+    customers = customers.select("k", "nation", word(k, 5).alias("first"), word(family, 10).alias("last"))
+    orders = _t(spark, d, "orders", "o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == k)
+    shown = F.element_at(F.array(F.lit(5), F.lit(5), F.lit(4), F.lit(3)), (F.pmod(F.xxhash64(n), F.lit(4)) + 1).cast("int"))
+    cut = F.when(F.pmod(F.xxhash64(n), F.lit(4)) == 0, 7).otherwise(10)
+    norm = lambda key, name: F.struct(key.alias("id"), name.alias("name"), F.col("nation").alias("facility"), F.lit("R").alias("role"), name.alias("_name_key")).alias("norm")
+    record = lambda source, key: [F.concat_ws("|", F.lit(source), key.cast("string")).alias("record_key"), F.lit(source).alias("source"), F.lit(0).alias("file_ord"), key.alias("ord")]
+    anchors = customers.select(*record("crm", k), norm(k.cast("string"), F.concat_ws(" ", "first", "last")))
+    short = F.concat_ws(" ", F.col("first").substr(F.lit(1), shown), F.col("last").substr(F.lit(1), cut))
+    return cfg, anchors.unionByName(orders.select(*record("web", n), norm(F.lit(None).cast("string"), short)))
+
+
+@query()
+def link_ladder(spark, d):
+    """The linker over customers (anchor) and orders of them under shortened names: a link per record."""
+    from ..operators.link import resolve
+
+    cfg, records = ladder_records(spark, d)
     return resolve(cfg, records).select("record_key", "entity_key", "method", "confidence")
