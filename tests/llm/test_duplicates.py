@@ -118,3 +118,47 @@ def test_the_pipeline_takes_shingles_of_five_words(spark, monkeypatch):
     rows = [r for r in corpus(3) if r[0] is not None]
     got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
     assert kept(got) == sorted(d for d, _, c in brute(rows) if d == c)
+
+
+def test_an_id_with_several_texts_is_linked_by_any(spark):
+    """Ids repeat with other texts, and near copies of either text are found."""
+    one, other = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(7, " ".join(one)), (7, " ".join(other)), (9, " ".join([*other, "end"])), (11, " ".join([*one, "end"])), (12, "nothing like them at all")]
+    assert {(r["doc_id"], r["component_id"]) for r in op.near_duplicates(frame(spark, rows)).collect()} == {(7, 7), (9, 7), (11, 7), (12, 12)}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_hot_stars_and_many_blocks(spark, monkeypatch, seed):
+    """Bounds so small that every key is hot, every neighbourhood has several blocks and groups are found in rounds."""
+    import veritrail.llm.common as common
+
+    monkeypatch.setattr(op, "FAN", 2)
+    monkeypatch.setattr(op, "ASKED", 100)
+    monkeypatch.setattr(op, "HELD", 300)
+    monkeypatch.setattr(op, "ONE_TASK", 0)
+    monkeypatch.setattr(common, "SALTS", 3)
+    words = [f"w{k}" for k in range(300)]
+    rows = [r for r in corpus(seed, 6) if r[0] is not None] + [(1000 + k, " ".join(words[3 * k : 3 * k + 50])) for k in range(60)]
+    got = {(r["doc_id"], r["component_id"]) for r in op.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(d, c) for d, _, c in brute(rows)}
+
+
+def test_column_names_with_dots(spark):
+    df = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")]).withColumnRenamed("key", "a.b`c")
+    assert [r["doc_id"] for r in op.deduplicated(df).collect()] == [1] and op.deduplicated(df).columns == df.columns
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above 0.8 are found: measured against all pairs, on a planted set."""
+    rng = random.Random(9)
+    rows, want = [], 0
+    for k in range(300):
+        words = [f"{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        copy = list(words)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(len(copy))] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    want = brute(rows)
+    got = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(frame(spark, rows)).collect()}
+    linked = [d for d, _, c in want if c != d]
+    assert len(linked) > 100 and np.mean([got[d] == d - 1 for d in linked]) >= 0.99 and got == {d: c for d, _, c in want}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
+import threading
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import shared_folder
+
 #: A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a side up to which a join sends it to every executor; larger sides are shuffled.
@@ -23,18 +26,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's ``spark.checkpoint.dir``; only where none is set (tests) a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return context.getCheckpointDir()
+def named(name: str) -> Column:
+    """A column by its whole name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+_scope = threading.local()
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once as a table of the shared folder and read again, so that its lineage is cut.
+
+    Columns that a reader does not want are not read back, and many small parts are read by few tasks.
+    """
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    made = getattr(_scope, "made", None)
+    if made is not None:
+        made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def next_stage(spark: SparkSession) -> None:
+    """Called where a stage of a pipeline starts: what the stage before it staged goes, as its result is written by now.
+
+    Tables of this thread only; those staged outside pipelines stay until their folder goes.
+    """
+    for path in getattr(_scope, "made", None) or ():
+        delete(spark, path)
+    _scope.made = []
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of plans that nobody holds any more
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
@@ -53,6 +79,35 @@ def small_enough(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
+#: Parts into which the rows of hot keys are dealt where facts about those keys are joined to them.
+SALTS = 64
+
+
+def beside(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with the columns of ``hot`` (staged, one row for each of few keys), null for other keys.
+
+    A hot key's rows are dealt over salts by the column ``by``, and its row of ``hot`` is repeated for each salt.
+    """
+    dealt = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = F.broadcast(dealt) if small_enough(dealt) else dealt
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [key, "_salt"], "left").drop("_salt")
+
+
+def dealt_join(many: DataFrame, few: DataFrame, key: str, by: str, most: int) -> DataFrame:
+    """``many`` joined with ``few``, which has few but long rows a key, where a key may hold any share of ``many``.
+
+    Keys with more than ``most`` rows of ``many`` are dealt into parts of about that size, by the column ``by``.
+    """
+    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("_parts")).filter(F.col("_parts") > most)
+    hot = staged(hot.withColumn("_parts", F.ceil(F.col("_parts") / most).cast("int")))
+    if not hot.head(1):
+        return many.join(few, key)
+    parts = F.coalesce("_parts", F.lit(1))
+    rows = beside(many, hot, key, by).withColumn("_part", F.pmod(F.xxhash64(by, F.lit(1)), parts).cast("int")).drop("_parts")
+    others = few.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return rows.join(others, [key, "_part"]).drop("_part")
+
+
 _releases: dict[str, Callable[[], None]] = {}
 
 

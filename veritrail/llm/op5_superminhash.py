@@ -12,7 +12,7 @@
    of copies). Star pairs are confirmed on the full sets, and confirmed links grouped. Then whatever a bucket holds outside
    the group of its centre is compared with all that the buckets of that group hold, in blocks of bounded size, from which
    only links come back: members that are grouped already need no further link. No bucket is capped.
-5. Links become groups by union-find inside each partition and rounds of minimum labels between partitions.
+5. Links become groups by union-find inside each partition, and in one task or by rounds of minimum labels between them.
 
 Sets are shingled again for confirmation, of representatives in shared buckets only, and travel as arrays of hashes.
 
@@ -28,10 +28,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, claim, mixed, runs, small_enough, staged, table, utf8
+from .common import beside, bit_map, claim, dealt_join, mixed, named, runs, small_enough, staged, table, utf8
 
 SHINGLE = 4
 RANKS, BANDS = 128, 32
@@ -145,7 +146,7 @@ def band_keys(best: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_id (a digest of the set, null if empty) its band keys and the low bytes of its signature."""
+    """doc_id, n_shingles, set_id (a digest of the set, null if empty) and the keys of its bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
@@ -173,7 +174,7 @@ MARKS = 1 << 26
 
 
 def shingled(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and the whole set of every document in ``wanted`` (a column of doc_ids, each once).
+    """doc_id, the whole set and a hash of the set of every document in ``wanted`` (a column of doc_ids, each once).
 
     A bit map of fixed size picks the documents while they are read, so their texts are not shuffled; a join with the
     ids then drops what shares a bit by chance.
@@ -190,11 +191,16 @@ def shingled(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFr
             for start, end in runs(bounds, BLOCK):
                 own = bounds[start : end + 1]
                 sets = [s.view(np.int64) for s in shingle_sets(data[own[0] : own[-1]], own - own[0], width)]
-                columns = [batch.column("doc_id").slice(start, end - start), pa.array(sets, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hashes"])
+                codes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+                columns = [batch.column("doc_id").slice(start, end - start), pa.array(codes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "hashes"])
 
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(each, "doc_id long, hashes array<long>").join(ids, "doc_id")
+    return rows.mapInArrow(each, "doc_id long, code long, hashes array<long>").join(ids, "doc_id")
+
+
+#: Members of a star that one task compares with its centre.
+FAN = 4_096
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -202,7 +208,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
     one = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_b"))
     other = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_a"))
     both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(one, "b").join(other, "a").filter(100 * both >= similar * (F.size("_a") + F.size("_b") - both)).select("a", "b")
+    return dealt_join(pairs, other, "a", "b", FAN).join(one, "b").filter(100 * both >= similar * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
 def _forest(batches):
@@ -227,14 +233,21 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in part], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
+#: Links up to which one task finds all groups at once (some 50 MB there); beyond, rounds of joins do.
+ONE_TASK = 200_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v): every linked node but the least of its component, with that least node; ``links`` has long a and b.
 
-    Partitions are contracted by union-find first. Then, in rounds, every node points to the least of what its lesser
-    neighbours point to, and so do those; a round is written to the shared folder, and the rounds end when all are stars.
+    Partitions are contracted by union-find first; few links that remain are put together in one task. Else, in rounds,
+    every node points to the least of what its lesser neighbours point to, and so do those; a round is written to the
+    shared folder, and the rounds end when all are stars.
     """
     edges = staged(links.mapInArrow(_forest, "u long, v long").distinct())
     while True:
+        if edges.limit(ONE_TASK + 1).count() <= ONE_TASK:
+            return staged(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1).mapInArrow(_forest, "u long, v long"))
         least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         onward = edges.select(F.col("v").alias("u")).join(least, "u", "left_semi")
         if not least.filter("n > 1").head(1) and not onward.head(1):
@@ -245,8 +258,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(pointed.select("e.u", F.col("e.q").alias("v")).filter("u <> v").distinct())
 
 
-#: Documents on either side of a block of comparisons.
-BLOCK_ROWS = 256
+#: Shingles on either side of a block of comparisons: of the documents that ask, and of those they are compared with.
+ASKED, HELD = 1 << 17, 1 << 20
 
 
 def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -279,22 +292,29 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
 def remaining_links(grouped: DataFrame, middle: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that stars could not show: of documents outside the group of a bucket's centre.
 
-    ``grouped`` has key, rep and group, ``middle`` has key and middle, the centre's group. All buckets with one middle
-    are one neighbourhood, whose open documents are compared with all of it. Neighbourhoods are cut into blocks of
-    bounded size on either side, so none is ever in one task, and only links leave a block.
+    ``grouped`` has key, rep, size and group, ``middle`` has key and middle, the centre's group. All buckets with one
+    middle are one neighbourhood, whose open documents are compared with all of it. Neighbourhoods are cut into blocks
+    of bounded size on either side, so none is ever in one task, and only links leave a block. Most are one block, which
+    need no sizes; the rows of the others meet theirs dealt over salts.
     """
     spread = grouped.join(middle, "key").withColumn("open", F.col("group") != F.col("middle"))
     keys = spread.filter("open").select("key").distinct()
-    near = spread.join(keys, "key", "left_semi").groupBy("middle", "rep", "group", "open").agg(F.lit(1).alias("_")).drop("_")
+    near = spread.join(keys, "key", "left_semi").groupBy("middle", "rep", "size", "group", "open").agg(F.lit(1).alias("_")).drop("_")
     near = staged(near)
-    size = near.groupBy("middle").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("o"))
-    parts = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
-    rows = near.join(size.select("middle", parts("n").alias("n"), parts("o").alias("o")), "middle")
+    mass = near.groupBy("middle").agg(F.sum("size").alias("n"), F.sum(F.when(F.col("open"), F.col("size"))).alias("o"))
+    large = mass.filter((F.col("n") > HELD) | (F.col("o") > ASKED))
+    parts = lambda n, most: F.ceil(F.col(n) / most).cast("int").alias(n)
+    large = staged(large.select("middle", parts("n", HELD), parts("o", ASKED)))
+    if large.head(1):
+        rows = beside(near, large, "middle", "rep").na.fill(1, ["n", "o"])
+    else:
+        rows = near.withColumns({"n": F.lit(1), "o": F.lit(1)})
     rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "hashes"), "rep")
     place = lambda n: F.pmod(F.xxhash64("rep", "middle"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     columns = ["middle", "rep", "group", "hashes"]
-    asked = rows.filter("open").select(*columns, F.lit(True).alias("open"), place("o").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    held = rows.select(*columns, F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), place("n").alias("j"))
+    asked = rows.filter("open").select(*columns, F.lit(True).alias("open"), place("o").alias("i"), F.explode(every("n")).alias("j"))
+    held = rows.select(*columns, F.lit(False).alias("open"), F.explode(every("o")).alias("i"), place("n").alias("j"))
     return asked.unionByName(held).groupBy("middle", "i", "j").applyInPandas(_compared, "a long, b long").distinct()
 
 
@@ -302,26 +322,27 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept; shingles are ``width`` words."""
     rows = staged(signed(docs, width))
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    classes = staged(known.groupBy("set_id").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("set_id", F.col("m.doc_id").alias("rep"), "m.bands"))
-    in_bands = classes.select("rep", F.explode("bands").alias("key"))
+    least = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
+    classes = staged(least.select("set_id", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("size"), "m.bands"))
+    in_bands = classes.select("rep", "size", F.explode("bands").alias("key"))
     crowded = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = staged(in_bands.join(crowded, "key"))
     reps = staged(met.groupBy("rep").agg(F.sum("n").alias("company")))
-    sets = staged(shingled(docs, reps.select(F.col("rep").alias("doc_id")), width).dropDuplicates(["doc_id"]))
+    # An id that repeats with other texts has several sets, and is linked by any of them.
+    sets = staged(shingled(docs, reps.select(F.col("rep").alias("doc_id")), width).dropDuplicates(["doc_id", "code"]).drop("code"))
 
     centre = F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("c")
     centres = staged(met.join(reps, "rep").groupBy("key").agg(centre).select("key", (-F.col("c.minus")).alias("centre")))
-    stars = met.join(centres, "key").filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = staged(met.join(centres, "key").filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     # Rows that repeat a doc_id with other texts tie the classes of their texts together.
     member = known.select("doc_id", "set_id").join(classes.select("set_id", "rep"), "set_id").select("doc_id", "rep")
     tied = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a <> last").select("doc_id", "a")
     ties = member.join(tied, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
-    groups = components(staged(confirmed(stars, sets).unionByName(ties)))
+    groups = components(confirmed(stars, sets).unionByName(ties))
 
-    grouped = met.join(groups.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
-    grouped = grouped.select("key", "rep", F.coalesce("root", "rep").alias("group"))
-    middle = centres.join(groups.select(F.col("u").alias("centre"), F.col("v").alias("root")), "centre", "left")
-    middle = middle.select("key", F.coalesce("root", "centre").alias("middle"))
+    of_rep = groups.select(F.col("u").alias("rep"), F.col("v").alias("root"))
+    grouped = met.join(of_rep, "rep", "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("group"))
+    middle = centres.join(of_rep.withColumnRenamed("rep", "centre"), "centre", "left").select("key", F.coalesce("root", "centre").alias("middle"))
     links = staged(remaining_links(grouped, middle, sets))
     if links.head(1):
         groups = components(groups.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links))
@@ -337,7 +358,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 def deduplicated(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group; columns as in ``docs``."""
     gone = staged(near_duplicates(docs, width).filter(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if small_enough(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if small_enough(gone) else gone, "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def op5_superminhash(spark, sf_dir: str) -> DataFrame:
