@@ -26,7 +26,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(op9_packing.vocabulary())
-    own.encode_special_tokens = True
     got = op9_packing.pack(frame(spark, ODD), keep_ids=True).collect()
     assert len({r["sequence_id"] for r in got}) == len(got)
     for k, text in enumerate(ODD):
@@ -40,6 +39,20 @@ def test_packing(spark):
     assert op9_packing.pack(frame(spark, [])).count() == 0
 
 
+def test_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(op9_packing.vocabulary())
+    rng = random.Random(5)
+    bits = ["a", "B", "é", "ß", "'s", "'T", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", ". ", ", ", ".\n", ".", "?", "_", "12", "İ", "Σ", "ΑΣ"]
+    bits += ["<|endoftext|>", "<|STARTOFTEXT|>", "<|", "漢", "가", "\u0301", "\u200b", "\ufeff", "\xad", "ﬁ", "\U0001f600", "ǅ", "Å", "\x00", "²", "Ⅳ"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    texts += ["".join(chr(rng.choice((rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)))) for _ in range(8)) for _ in range(5_000)]
+    texts += ["a <|endoftext|> b", "a\x1c. b"]
+    for text, got in zip(texts, op9_packing.encode(texts, op9_packing.vocabulary())):
+        assert np.frombuffer(got, "<u4").tolist() == [*own.encode(text, add_special_tokens=False).ids, 1], ascii(text)
+
+
 def test_pieces_are_binary_digits():
     for n in (1, 2, 3, 2047, 2048, 2049, 10_000):
         sizes = [s for _, s in op9_packing.pieces(n)]
@@ -66,10 +79,59 @@ def test_language_on_held_out_texts(spark):
     assert kept.columns == docs.columns and kept.filter("score = 'mine'").count() == 302
 
 
+def grams(text):
+    """The n-grams of a text as strings, plainly."""
+    low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or ""]
+    chars = [c for k, c in enumerate(low) if c != " " or k == 0 or low[k - 1] != " "]
+    return ["".join(chars[k : k + n]) for n in (1, 2, 3) for k in range(len(chars) - n + 1) if n > 1 or chars[k] != " "]
+
+
+def bucket(gram):
+    with np.errstate(over="ignore"):
+        code = np.uint64(ord(gram[0]))
+        for c in gram[1:]:
+            code = code * op6_language._FIRST + np.uint64(ord(c)) * op6_language._SECOND
+        return int(op6_language.mixed(np.array([code + np.uint64(len(gram))]))[0] & np.uint64(op6_language.BUCKETS - 1))
+
+
+def test_language_is_multinomial_naive_bayes(spark):
+    """Against sums over plain n-grams, with priors as uneven as a hundred to one, odd letters and a text above a megabyte."""
+    rng = random.Random(3)
+    syllables = {"aa": ("ab", "ra", "ca", "da"), "bb": ("ra", "ca", "mo", "no")}
+    text = lambda lang, n: "  ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(n))
+    rows = [(k, text("aa", 6), "aa") for k in range(600)] + [(1000 + k, text("bb", 6), "bb") for k in range(6)]
+    long = (" \n7 " * 90_000) + "mo" + "-" * 300_000 + "no ra" * 120_000 + "é" + chr(0x323A0) * 3
+    odd = ["ra ca mo", "ra", "rac amo", "mo no ra ca " * 20, "ab", chr(0x323A0), "İ ß", "a\u0301b", long]
+    docs = spark.createDataFrame([*rows, *((2000 + k, t, None) for k, t in enumerate(odd))], "doc_id long, text string, lang string")
+    learned = {lang: [t for d, t, x in rows if x == lang and zlib.crc32(str(d).encode()) % 5] for lang in syllables}
+    sums = {lang: np.full(op6_language.BUCKETS, op6_language.SMOOTHING) for lang in learned}
+    for lang, texts in learned.items():
+        for t in texts:
+            for g in grams(t):
+                sums[lang][bucket(g)] += 1
+    size, whole = {}, sum(map(len, learned.values()))
+    got = {r["doc_id"]: r for r in op6_language.identify(docs, sample=10_000).collect()}
+    for k, t in enumerate([*odd[:-1], odd[-1]]):
+        own = [bucket(g) for g in grams(t)] if k < len(odd) - 1 else None
+        if own is None:
+            known = {}
+            own = [known[g] if g in known else known.setdefault(g, bucket(g)) for g in grams(t)]
+        for lang in sums:
+            size[lang] = np.log(sums[lang] / sums[lang].sum()).astype(np.float32)[own].sum(dtype=float) + np.log(len(learned[lang]) / whole)
+        r = got[2000 + k]
+        assert r["lang_pred"] == max(size, key=size.get), ascii(t[:40])
+        apart = abs(size["aa"] - size["bb"]) / np.sqrt(max(1, len(own)))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-apart)), abs=1e-4)
+    assert len({got[2000 + k]["lang_pred"] for k in range(len(odd))}) == 2
+
+
 def test_language_without_labels(spark):
     got = op6_language.identify(frame(spark, ["abc", None])).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)] * 2
     assert op6_language.identify(frame(spark, [])).count() == 0
+    odd = frame(spark, ["abc", None, "12"]).withColumnRenamed("source", "a.b`c")
+    kept = op6_language.accepted(odd)
+    assert kept.columns == odd.columns and [r["text"] for r in kept.collect()] == ["abc"]
 
 
 def test_licenses(spark):

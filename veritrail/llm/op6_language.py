@@ -7,22 +7,26 @@ characters is one blank), cut into n-grams of 1 to 3 characters, each hashed to
   share comes from counts over all rows). Executors count n-grams sparsely, Spark sums the counts by language and
   bucket, and the driver gets at most languages x BUCKETS sums: the size of the model, whatever the corpus.
 * Score. The log-probability matrix is broadcast. Rows are scored in blocks: the bucket numbers of a block gather rows
-  of the matrix, summed by document. The score is the posterior of the winner, per character, so that long texts
-  don't saturate: log-likelihoods are divided by the square root of the number of n-grams before normalising.
+  of the matrix, summed by document. The language is the one of the greatest log-likelihood plus log prior. Its score
+  is its posterior, tempered so that long texts don't saturate: the sums are divided by the square root of the number
+  of n-grams before they are normalised.
 
 Null text, or text without a letter, is ``und`` with score 0; so is everything if nothing could be learned. Ties go to
 the language that sorts first. A null doc_id counts as held out and is never learned from. Texts of any length are
-read whole, in pieces. Repeated rows are scored each for itself. Other columns are not looked at.
+read whole; long ones in pieces that carry their last characters on, so that no n-gram is lost. Repeated rows are scored
+each for itself. Other columns are not looked at, and are kept by :func:`accepted` whatever their names.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, mixed, runs, table, utf8
+from .common import claim, mixed, named, runs, table, utf8
 
 BUCKETS = 1 << 15
 SAMPLE = 3_000
@@ -38,35 +42,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _letters() -> np.ndarray:
-    """For each code point below the surrogates its lower-case letter, or a blank; above, letters stand for themselves."""
-    out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x20000):
+    """For each code point its lower-case letter (itself, if that is several), or a blank if it is no letter."""
+    out = np.full(sys.maxunicode + 1, 32, np.uint32)
+    for c in range(sys.maxunicode + 1):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
             out[c] = ord(low) if len(low) == 1 else c
-    for c in range(0x20000, 0x32000):
-        if chr(c).isalpha():
-            out[c] = c
     return out
 
 
 _table: list[np.ndarray] = []
 
 
-def features(texts: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, its row, letters of each row) for rows of UTF-32 text, given their characters.
-
-    Rows are parted by a blank that belongs to the row before, so no n-gram spans two rows' letters.
-    """
+def _folded(data: bytes) -> np.ndarray:
+    """The characters of UTF-8 bytes as letters in lower case and blanks."""
     if not _table:
         _table.append(_letters())
-    chars = _table[0][np.frombuffer(texts, "<u4")]
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    letters = np.bincount(row[chars != 32], minlength=len(lengths))
-    first = np.ones(len(chars), bool)
-    first[1:] = (chars[1:] != 32) | (chars[:-1] != 32) | (row[1:] != row[:-1])
-    chars, row = chars[first].astype(np.uint64), row[first]
+    return _table[0][np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")]
+
+
+def _grams(chars: np.ndarray, row: np.ndarray, seen: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) of each n-gram of characters in which blanks are single; those within the first ``seen`` are left out."""
+    chars = chars.astype(np.uint64)
     found, owner = [], []
     code = chars
     for n in (1, 2, 3):
@@ -75,23 +73,47 @@ def features(texts: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             same = row[: len(code)] == row[n - 1 :]
         else:
             same = chars != 32
+        same[: max(0, seen - n + 1)] = False
         found.append(mixed(code[same] + np.uint64(n)) & np.uint64(BUCKETS - 1))
         owner.append(row[: len(code)][same])
-    return np.concatenate(found).astype(np.int64), np.concatenate(owner), letters
+    return np.concatenate(found).astype(np.int64), np.concatenate(owner)
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of each n-gram, its row, letters of each row) of UTF-8 texts; no n-gram spans two of them."""
+    parts = [_folded(t) for t in texts]
+    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    chars = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    letters = np.bincount(row[chars != 32], minlength=len(parts))
+    first = np.ones(len(chars), bool)
+    first[1:] = (chars[1:] != 32) | (chars[:-1] != 32) | (row[1:] != row[:-1])
+    return *_grams(chars[first], row[first]), letters
+
+
+def long_features(text: np.ndarray, block: int):
+    """What :func:`features` gives for one text, in pieces of about ``block`` bytes; each takes up the two characters before it."""
+    at, last = 0, np.zeros(0, np.uint32)
+    while at < len(text):
+        end = min(at + block, len(text))
+        while end < len(text) and text[end] & 0xC0 == 0x80:  # not inside a character
+            end += 1
+        chars = np.concatenate([last, _folded(bytes(text[at:end]))])
+        first = np.ones(len(chars), bool)
+        first[1:] = (chars[1:] != 32) | (chars[:-1] != 32)
+        letters, chars = int((chars[len(last) :] != 32).sum()), chars[first]
+        yield *_grams(chars, np.zeros(len(chars), np.int64), len(last)), np.array([letters])
+        at, last = end, chars[-2:]
 
 
 def _blocks(column: pa.Array):
-    """(first row, rows, buckets, owners, letters) over whole texts; a row's pieces may span blocks."""
+    """(first row, last, buckets, owners, letters) over whole texts; a row's pieces may span blocks."""
     data, bounds = utf8(column)
     for start, end in runs(bounds, BLOCK):
         if bounds[end] - bounds[start] <= 4 * BLOCK:
-            texts = [bytes(data[bounds[k] : bounds[k + 1]]).decode("utf-8", "replace") for k in range(start, end)]
-            yield start, end, *features("".join(texts).encode("utf-32-le", "surrogatepass"), np.array([len(t) for t in texts]))
-        else:  # one very long row, in pieces; the few n-grams across a cut are not seen
-            text = bytes(data[bounds[start] : bounds[end]]).decode("utf-8", "replace")
-            for at in range(0, len(text), BLOCK):
-                part = text[at : at + BLOCK]
-                yield start, end, *features(part.encode("utf-32-le", "surrogatepass"), np.array([len(part)]))
+            yield start, end, *features([bytes(data[bounds[k] : bounds[k + 1]]) for k in range(start, end)])
+        else:
+            for part in long_features(data[bounds[start] : bounds[end]], BLOCK):
+                yield start, end, *part
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -124,11 +146,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
 
 
 def classify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:
-    """``docs``, without the text if it isn't wanted, with lang_pred and score."""
+    """``docs``, without the text if it isn't wanted, with lang_pred and score; other columns are called _0, _1, ..."""
     langs, logs = model
     sent = docs.sparkSession.sparkContext.broadcast(logs)
-    names = [c for c in docs.columns if keep_text or c != "text"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    own = [c for c in docs.columns if keep_text or c != "text"]
+    names = ["text" if c == "text" else f"_{k}" for k, c in enumerate(own)]  # Python functions take plain names only
+    fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, own))
 
     def score(batches):
         claim("language", _table.clear)
@@ -144,28 +167,35 @@ def classify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bo
                 letters[start:end] += seen
             best, sure = np.zeros(n, np.int64), np.zeros(n)
             if langs:
-                total = total / np.sqrt(np.maximum(grams, 1))[:, None] + matrix[-1]
+                total += matrix[-1]
                 best = total.argmax(axis=1)
+                total /= np.sqrt(np.maximum(grams, 1))[:, None]
                 sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             some = letters > 0
             named = pa.array([langs[b] if s else UNKNOWN for b, s in zip(best, some)] if langs else [UNKNOWN] * n, pa.string())
             scores = pa.array(np.where(some, np.clip(sure, 0, 1), 0.0))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], named, scores], [*names, "lang_pred", "score"])
 
-    return docs.select(*names, *([] if keep_text else ["text"])).mapInArrow(score, fields + ", lang_pred string, score double")
+    rows = docs.select(*[named(c).alias(n) for n, c in zip(names, own)], *([] if keep_text else ["text"]))
+    return rows.mapInArrow(score, fields + ", lang_pred string, score double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; learned from the rows that are not held out."""
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return classify(rows, fit(docs, sample))
+    return classify(rows, fit(docs, sample)).toDF("doc_id", "held_out", "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more; columns as in ``docs``."""
-    named = docs.withColumnsRenamed({c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns})
-    scored = classify(named, fit(docs), keep_text=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return scored.select(*[F.col(c).alias(d) for c, d in zip(named.columns, docs.columns)])
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more; columns as in ``docs``.
+
+    Where no language could be learned at all, texts with a letter are kept.
+    """
+    model = fit(docs)
+    if not model[0]:
+        model, least = ([""], np.zeros((BUCKETS + 1, 1), np.float32)), 0.0
+    scored = classify(docs, model, keep_text=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return scored.drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, staged, table
+from .common import claim, named, staged, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ROUNDS = 5
@@ -303,7 +303,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets; overlapping spans are one."""
     found = found_spans(docs).filter(F.size("spans") > 0).select(F.col("_k").alias("_fk"), F.col("_l").alias("_fl"), "spans")
     found = found.dropDuplicates(["_fk", "_fl"])
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(docs))
+    keyed = docs.select(F.struct(*map(named, docs.columns)).alias("_row"), *row_key(docs))
     joined = keyed.join(found, (F.col("_k") == F.col("_fk")) & (F.col("_l") == F.col("_fl")), "left")
 
     @F.pandas_udf("string")
@@ -323,7 +323,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     hidden = joined.select("_row", F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(hide("_row.text", "spans")).alias("_text"))
-    return hidden.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
+    return hidden.select(*[F.col("_text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

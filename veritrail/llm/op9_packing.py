@@ -5,7 +5,8 @@ count (whole sequences of 2048 first, then falling powers of two). Pieces of equ
 is a sequence of its own, so no sequence crosses a document and nothing is padded.
 
 Tokens: the vocabulary splits text at white space before anything else, so the ids of a text are the ids of its
-blank-separated words in order. Words are encoded once and remembered, within a bound, by each Python worker.
+blank-separated words in order. Words are encoded once and remembered, within a bound, by each Python worker. Texts with
+control characters, or with the name of a special token (which becomes that token), are encoded whole.
 
 All of it is one pass without a shuffle. A sequence's number is made of its bucket, its partition and a running
 number there, so it is unique without counting anything across partitions, and a lost task makes the same rows again.
@@ -60,8 +61,10 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
         self.model = self.own.model
+        names = [re.escape(t.content) for t in self.own.get_added_tokens_decoder().values()]
+        #: Texts that words alone don't tell: they hold a name that is one token, or characters that are blanks to some only.
+        self.whole = re.compile("|".join([*names, "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\xad]"]), re.I)
         self.known: dict[str, bytes] = {"": b""}
 
     def _plain(self, word: str) -> bytes:
@@ -70,6 +73,9 @@ class _Words:
         tokens = (t.id for p in parts for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_NAMES)))
         return array("I", tokens).tobytes()
 
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The ids of unseen words; those that are short are remembered."""
         odd = [w for w in words if len(w) > LONGEST or not PLAIN.fullmatch(w)]
@@ -88,9 +94,11 @@ _GROUPED = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
 
 def _split(text: str) -> list[str]:
     """Words in lower case, full stops and commas behind a word apart from it: fewer different words to encode."""
-    if "Σ" not in text:  # its lower case depends on what follows
+    sigma = "Σ" in text  # its lower case depends on what follows
+    if not sigma:
         text = text.lower()
-    if not _GROUPED.search(text):
+    # The lower case of "İ" ends in a sign.
+    if not _GROUPED.search(text) and not (sigma and "İ" in text):
         text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
     return text.replace("\n", " ").split(" ")
 
@@ -100,12 +108,13 @@ def encode(texts: list[str | None], path: str, end: int = END) -> list[bytes]:
     own = _vocabularies.get(path) or _vocabularies.setdefault(path, _Words(path))
     if len(own.known) > REMEMBERED:
         own.known = {"": b""}
-    split = [_split(t or "") for t in texts]
+    odd = {k: own.encode(t) for k, t in enumerate(texts) if t and own.whole.search(t)}
+    split = [[] if k in odd else _split(t or "") for k, t in enumerate(texts)]
     long = own.learn(set(chain.from_iterable(split)).difference(own.known))
     get, tail = own.known.__getitem__, int(end).to_bytes(4, "little")
     if long:
         get = lambda w: own.known[w] if w in own.known else long[w]
-    return [b"".join(map(get, words)) + tail for words in split]
+    return [(odd[k] if k in odd else b"".join(map(get, words))) + tail for k, words in enumerate(split)]
 
 
 def vocabulary() -> str:
