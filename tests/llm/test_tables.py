@@ -1,9 +1,12 @@
 """Mixing, host rules, archives, media, the SQL of all queries, and the pipeline."""
 
+import base64
+import gzip
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -112,13 +115,17 @@ def test_host_rules(spark):
     assert op2_hosts.host_rules(docs(spark, [])).count() == 0
 
 
-def test_archives_come_back(spark):
+@pytest.mark.parametrize("hot", [3, 100_000])
+def test_archives_come_back(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(op4_warc, "HOT", hot)
     rng = random.Random(3)
     big = "x" * 300_000
     rows = [(k, f"http://h/{k}", rng.choice(["<p>" + "é" * 60, "short", None, "", f"own {k} " * 30, big])) for k in range(120)]
     rows += [(None, None, "y" * 200), (None, "http://n/", "y" * 200), rows[0]]
     pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, digest string")
-    stored = op4_warc.archived(pages)
+    stored = op4_warc.archived(pages, str(tmp_path / "warc"))
+    assert sorted(r["source"] for r in stored.collect()) == sorted(map(str, (tmp_path / "warc").glob("*.warc.gz")))
+    assert gzip.decompress((tmp_path / "warc" / Path(stored.head()["source"]).name).read_bytes()).startswith(op4_warc.VERSION)
     got = sorted(op4_warc.records(stored).collect(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0))
     assert len(got) == len(rows)
     first = {}
@@ -161,6 +168,55 @@ def test_salvage_loses_only_what_is_damaged(spark, tmp_path):
     assert op4_warc.gaps(files).count() == 2
 
 
+def foreign(kind, block, head="", fields=""):
+    """A record as other tools write it."""
+    block = head.encode() + block
+    names = f"WARC-Type: {kind}\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\n{fields}Content-Length: {len(block)}\r\n\r\n"
+    return b"WARC/1.0\r\n" + names.encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_tools():
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    page = b"<p>hello</p>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(page).digest()).decode()
+    parts = [
+        foreign("warcinfo", b"software: some tool\r\n", fields="Content-Type: application/warc-fields\r\n"),
+        foreign("request", b"", "GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request\r\nWARC-Target-URI: http://a/\r\n"),
+        foreign("response", page, http, f"Content-Type: application/http;\r\n msgtype=response\r\nWARC-Payload-Digest: {sha1}\r\nWARC-Target-URI: http://a/\r\n"),
+        foreign("revisit", b"", http, f"Content-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: {sha1}\r\n"),
+        foreign("metadata", b"a: b", fields="WARC-Block-Digest: md5:" + hashlib.md5(b"a: b").hexdigest() + "\r\n"),
+        foreign("resource", b"WARC/1.0\r\n" * 3, fields="WARC-Block-Digest: other:x\r\n"),
+    ]
+    kinds = ["warcinfo", "request", "response", "revisit", "metadata", "resource"]
+    plain, packed, whole = b"".join(parts), b"".join(map(op4_warc.member, parts)), op4_warc.member(b"".join(parts))
+    for data in (plain, packed, whole):
+        got = list(op4_warc.salvage(data))
+        assert [x["record_type"] for k, x in got if k == "record"] == kinds and not [x for k, x in got if k == "gap"]
+        answer = [x for k, x in got if k == "record"][2]
+        assert bytes(answer["payload"]) == page and answer["payload_digest"] == sha1 and answer["url"] == "http://a/" and answer["headers"]["warc-record-id"] == "<urn:uuid:response>"
+    wrong = plain.replace(b"hello", b"hallo")
+    for data in (wrong, b"".join(op4_warc.member(p.replace(b"hello", b"hallo")) for p in parts)):
+        got = list(op4_warc.salvage(data))
+        assert [x["record_type"] for k, x in got if k == "record"] == [k for k in kinds if k != "response"]
+        assert [x[2] for k, x in got if k == "gap"] == ["wrong digest"]
+    got = list(op4_warc.salvage(whole[:-9]))
+    assert [x["record_type"] for k, x in got if k == "record"] == ["response", "metadata"], "of a damaged member, what digests prove"
+    assert [x for k, x in got if k == "gap"] == [(0, len(whole) - 9, "damaged member")]
+
+
+def test_the_search_for_marks_is_linear():
+    last = op4_warc.record(1, None, "response", None, 0, hashlib.sha256(b"").hexdigest(), b"")
+    line, head = b"WARC/1.1\r\n", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999999\r\n\r\n"
+    for noise in (op4_warc.MAGIC + b"\x08" + b"n" * 2, line, op4_warc.MAGIC + b"..", head, line[:-1], b"\r\n\r\n"):
+        took = []
+        for size in (1 << 19, 1 << 21):
+            start = time.perf_counter()
+            got = list(op4_warc.salvage(noise * (size // len(noise)) + last))
+            took.append(time.perf_counter() - start)
+            assert [k for k, _ in got] == ["gap", "record"]
+        assert took[1] < 12 * took[0] + 1
+
+
 def test_media_come_back(spark):
     rng = random.Random(5)
     passage = "".join(rng.choice("abcdefgh \n") for _ in range(30_000))
