@@ -187,6 +187,94 @@ def test_toxicity(spark):
     assert op3_toxicity.toxicity(docs.limit(0), marks).count() == 0
 
 
+def plain_features(text):
+    """(kind, bytes) of a text's words, and the words in order with their starts, plainly."""
+    data = (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[a-z\x80-\xff]+", data)]
+    of = lambda w: {(0, w), (5, w[:5]), (4, w[:4])}
+    return set().union(*(of(w) for _, w in words)) if words else set(), [(4 * at // max(1, len(data)), of(w)) for at, w in words]
+
+
+def hash_of(feature):
+    kind, w = feature
+    data = np.frombuffer(w, np.uint8)
+    with np.errstate(over="ignore"):
+        code = op3_toxicity.span_hashes(data, np.array([0]), np.array([len(w)]))[0] + np.uint64({0: 0, 5: 1, 4: 2}[kind])
+        return op3_toxicity.mixed(np.array([code]))[0]
+
+
+def logistic(x, y):
+    """A penalised logistic model by many small steps down the gradient."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, op3_toxicity.PENALTY), 1e-3]
+    step = 1 / (np.linalg.norm(x, 2) ** 2 / 4 + op3_toxicity.PENALTY)
+    v, t = w, 1.0
+    for _ in range(20_000):
+        new = v - step * (x.T @ (1 / (1 + np.exp(-(x @ v))) - y) + ridge * v)
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v, w, t = new + (t - 1) / later * (new - w), new, later
+    return w
+
+
+def test_the_chain_equals_a_plain_one(spark):
+    """Words of strings, features counted without each fold, logistic models by gradient descent: the same probabilities."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeiou") for _ in range(3))
+    rows, labels = [], []
+    for k in range(160):
+        words = [word() for _ in range(rng.randint(15, 40))]
+        if k % 3 == 0:
+            for _ in range(rng.randint(1, 5)):
+                words.insert(rng.randrange(len(words)), rng.choice(["zzgrok", "Xulpa", "vrdl", "zzgroq"]))
+        rows.append((k, " ".join(words), None, None, 0.0, True))
+        labels.append((k, 1, int(k % 3 == 0) ^ int(k % 40 == 0)))
+    rows += [(500, rows[0][1], None, None, 0.0, True)] * 50
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learned = [(plain_features(t), lab) for (d, t, *_), (_, _, lab) in zip(rows, labels) if zlib.crc32(str(d).encode()) % 5]
+    folds = np.array([int(min(hash_of(f) for f in own if f[0] == 0) % np.uint64(op3_toxicity.FOLDS)) for (own, _), _ in learned])
+    toxic = np.array([lab > 0 for _, lab in learned])
+    lists = []
+    for f in range(op3_toxicity.FOLDS + 1):
+        seen = [(own, lab) for ((own, _), lab), g in zip(learned, folds) if g != f]
+        found = []
+        for x in set().union(*(own for own, _ in seen)):
+            t, c = (sum(x in own for own, lab in seen if (lab > 0) == kind) for kind in (True, False))
+            if t >= op3_toxicity.SUPPORT and np.log((t + 0.5) / (c / 2 + 0.5)) > 1:
+                found.append(x)
+        lists.append(sorted(found))
+    assert len(lists[-1]) < op3_toxicity.FEATURES
+    told = [[q for q, own in words if own & set(lists[f])] for ((_, words), _), f in zip(learned, folds)]
+    share = np.array([len(q) / len(words) for q, ((_, words), _) in zip(told, learned)])
+    dense = toxic & (share > np.median(share[toxic]))
+    ys = [dense, toxic & np.array([len(set(q)) > 1 for q in told]), toxic]
+    matrix = lambda sets, chosen: np.array([[float(x in own) for x in chosen] for own in sets]).reshape(len(sets), len(chosen))
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    sets, texts = [own for (own, _), _ in learned], [plain_features(t)[0] for _, t, *_ in rows]
+    earlier, later, want = np.zeros((len(sets), 0)), np.zeros((len(texts), 0)), []
+    for y in ys:
+        w = logistic(np.hstack([matrix(sets, lists[-1]), earlier]), y)
+        p = 1 / (1 + np.exp(-(np.hstack([matrix(texts, lists[-1]), later, np.ones((len(texts), 1))]) @ w)))
+        unseen = np.zeros(len(sets))
+        for f in set(folds):
+            own = np.hstack([matrix(sets, lists[f]), earlier])
+            v = logistic(own[folds != f], y[folds != f])
+            unseen[folds == f] = 1 / (1 + np.exp(-(np.hstack([own[folds == f], np.ones(((folds == f).sum(), 1))]) @ v)))
+        earlier, later = np.hstack([earlier, logit(unseen)[:, None]]), np.hstack([later, logit(p)[:, None]])
+        want.append(p)
+    got = {r["doc_id"]: r for r in op3_toxicity.toxicity(docs, marks).collect()}
+    for k, (d, *_) in enumerate(rows[:160]):
+        assert [got[d][f"p_{c}"] for c in op3_toxicity.CATEGORIES] == pytest.approx([p[k] for p in want], abs=2e-3)
+
+
+def test_the_sample_is_bounded_in_rows(spark):
+    """Few ids in many rows: equal rows count once, and no more than the bound are drawn."""
+    docs = spark.range(20_000).select((F.col("id") % 20).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 5_000).cast("string")).alias("text"))
+    marks = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    assert 0 < op3_toxicity._sample(docs, marks, 50).count() < 300
+    same = spark.range(5_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    assert op3_toxicity._sample(same, marks, 50).count() == 1
+
+
 def test_chain_feeds_earlier_categories():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2, (400, 6)).astype(float)

@@ -7,11 +7,14 @@ from a model that has not seen it, so that a later model learns how far an earli
 * Features: the distinct words of a text and their first four and five bytes, as 64-bit hashes (letters beyond ASCII
   are bytes of a word like others). The ``FEATURES`` most telling ones are chosen by their log odds between toxic and
   clean documents times the toxic documents that hold them; a model is the weights of these.
+* Folds: a document's fold comes from the least hash of its words, so that near copies of it are mostly in the same fold.
+  Features are chosen once for each fold without its documents, so an out-of-fold model has seen them in no way.
 * Categories: ``dense`` (toxic, with a share of telling words above the toxic median), ``sustained`` (toxic, with telling
-  words in several quarters of the text), then ``toxic`` itself, as labelled.
-* Fit on a sample of at most about ``SAMPLE`` toxic and twice as many clean labelled documents, taken by a hash of
-  doc_id; executors make the features and count them. The driver fits on what the chosen features leave of the sample.
-  Every document is then scored, whole, in one pass.
+  words in several quarters of the text), then ``toxic`` itself. Only the last is labelled; the first two are weak labels
+  made of it and of the words that the other folds tell to be toxic.
+* Fit on a sample of at most about ``SAMPLE`` toxic and twice as many clean labelled documents, taken by a hash of id
+  and text; equal rows count once, so repeated ids don't let it grow. Executors make the features and count them. The
+  driver fits on what the chosen features leave of the sample. Every document is then scored, whole, in one pass.
 
 Null or empty text has no features and the models' base rates. A document with several labels counts as toxic if one
 says so; null labels are none. Labels without a document are ignored. With no label of either kind nothing is toxic.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, mixed, runs, table, utf8
+from .common import claim, mixed, runs, staged, table, utf8
 from .op5_superminhash import _powers, span_hashes, word_bounds
 from .op6_language import held_out
 
@@ -63,36 +66,59 @@ def _documents(batch):
             at += n
 
 
+def _fold(codes: np.ndarray) -> int:
+    """The fold of a document, from the least hash of its words."""
+    return int(codes[0].min() % np.uint64(FOLDS)) if codes.size else 0
+
+
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text, toxic and fold of the documents to learn from."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    """text and toxic of the documents to learn from: at most about three times ``sample``, whatever the corpus."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id")))
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    keyed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("_h"))
+    pairs = staged(keyed.join(known, "doc_id").distinct())
+    counts = {r["toxic"]: r["count"] for r in pairs.groupBy("toxic").count().collect()}
     span = 1 << 20
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(span))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "_h"), F.lit(span))
     share = F.lit(0)
     for toxic, n in counts.items():
         share = F.when(F.col("toxic") == toxic, min(span, span * sample * (1 if toxic else 2) // n + 1)).otherwise(share)
-    # At most about three times ``sample`` ids, whatever the corpus.
-    chosen = known.filter(drawn < share).select("doc_id", "toxic", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
+    chosen = pairs.filter(drawn < share)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text").join(F.broadcast(chosen), ["doc_id", "_h"])
+    return staged(rows.groupBy("doc_id", "_h", "toxic").agg(F.first("text").alias("text")).select("text", "toxic"))
 
 
 def _count(batches):
-    """How many clean and toxic documents hold each feature, summed over a partition."""
+    """How many clean and toxic documents of each fold hold each feature, summed over a partition."""
     claim("shingles", _powers.clear)
-    held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
     for batch in batches:
-        kind = [int(bool(x)) for x in batch.column("toxic").to_pylist()]
+        kind = batch.column("toxic").to_pylist()
         for k, codes, _, _ in _documents(batch):
-            held[kind[k]].append(np.unique(codes))
-    for kind, parts in held.items():
-        if parts:
-            feature, n = np.unique(np.concatenate(parts), return_counts=True)
-            for at in range(0, len(n), 100_000):
-                part = slice(at, at + 100_000)
-                columns = [pa.array(feature[part].view(np.int64)), pa.array(np.where(kind, n[part], 0)), pa.array(np.where(kind, 0, n[part]))]
-                yield pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "clean"])
+            held.setdefault((_fold(codes), kind[k]), []).append(np.unique(codes))
+    for (fold, kind), parts in held.items():
+        feature, n = np.unique(np.concatenate(parts), return_counts=True)
+        for at in range(0, len(n), 100_000):
+            part = slice(at, at + 100_000)
+            columns = [pa.array(feature[part].view(np.int64)), pa.array(np.full(len(n[part]), fold, np.int32))]
+            columns += [pa.array(np.where(kind, n[part], 0)), pa.array(np.where(kind, 0, n[part]))]
+            yield pa.RecordBatch.from_arrays(columns, ["feature", "fold", "toxic", "clean"])
+
+
+def _telling(chosen: DataFrame) -> list[np.ndarray]:
+    """The features chosen without each fold, then those chosen with all; sorted."""
+    counts = chosen.mapInArrow(_count, "feature long, fold int, toxic long, clean long").groupBy("feature")
+    of = lambda c, f: F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}")
+    counts = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), *[of(c, f) for c in ("toxic", "clean") for f in range(FOLDS)])
+    counts = staged(counts.filter(F.col("t") >= SUPPORT))
+    out = []
+    for f in range(FOLDS + 1):
+        t, c = (F.col("t"), F.col("c")) if f == FOLDS else (F.col("t") - F.col(f"toxic{f}"), F.col("c") - F.col(f"clean{f}"))
+        # Twice as many clean documents as toxic ones are drawn, which the half sets right.
+        odds = F.log((t + 0.5) / (c / 2 + 0.5))
+        best = counts.filter((t >= SUPPORT) & (odds > 1)).orderBy(F.desc(odds * t), "feature").limit(FEATURES).select("feature").collect()
+        out.append(np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64)))
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,17 +148,24 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """One weight vector per category: features, the logits of the categories before it, the intercept."""
-    chain = []
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, columns: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """One weight vector per category: features, the logits of the categories before it, the intercept.
+
+    ``columns`` are the features to be used without each fold, and last those to be used with all.
+    """
+    columns = columns or [np.arange(x.shape[1])] * (FOLDS + 1)
+    chain, earlier = [], np.zeros((len(x), 0))
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
-        chain.append(_logistic(x, y))
+        chain.append(_logistic(np.hstack([x[:, columns[-1]], earlier]), y))
         unseen = np.zeros(len(x))
         for f in np.unique(folds):
             out = folds == f
-            unseen[out] = _sigmoid(_with_ones(x[out]) @ (_logistic(x[~out], y[~out]) if (~out).any() else chain[-1]))
-        x = np.hstack([x, _logit(unseen)[:, None]])
+            own = np.hstack([x[:, columns[f]], earlier])
+            # All in one fold: nothing else to learn from but the base rate.
+            w = _logistic(own[~out], y[~out]) if (~out).any() else np.r_[np.zeros(own.shape[1]), _logit(np.array([y.mean()]))]
+            unseen[out] = _sigmoid(_with_ones(own[out]) @ w)
+        earlier = np.hstack([earlier, _logit(unseen)[:, None]])
     return chain
 
 
@@ -149,42 +182,42 @@ def run_chain(chain: list[np.ndarray], x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, list[np.ndarray]]:
     """The chosen features, sorted, and the chain over them; no features if there is nothing to tell apart."""
     chosen = _sample(docs, labels, sample)
-    counts = chosen.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature")
-    counts = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter(F.col("t") >= SUPPORT)
-    # Twice as many clean documents as toxic ones are drawn, which the half sets right.
-    odds = F.log((F.col("t") + 0.5) / (F.col("c") / 2 + 0.5))
-    best = counts.withColumn("gain", odds * F.col("t")).filter(odds > 1).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
-    features = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
-    if not len(features):
-        return features, []
+    lists = _telling(chosen)
+    if not len(lists[-1]):
+        return lists[-1], []
+    every = np.unique(np.concatenate(lists))
 
     def rows(batches):
         claim("shingles", _powers.clear)
         for batch in batches:
-            hits, words, telling, quarters = [], [], [], []
+            folds, hits, words, telling, quarters = [], [], [], [], []
             for _, codes, quarter, n in _documents(batch):
-                place, found = _look_up(features, codes)
+                fold = _fold(codes)
+                place, found = _look_up(every, codes)
+                told = _look_up(lists[fold], codes)[1].any(axis=0)
+                folds.append(fold)
                 hits.append(np.unique(place[found]))
-                any_found = found.any(axis=0)
                 words.append(n)
-                telling.append(int(any_found.sum()))
-                quarters.append(len(np.unique(quarter[any_found])))
-            columns = [batch.column("toxic"), batch.column("fold"), pa.array(hits, pa.list_(pa.int64()))]
+                telling.append(int(told.sum()))
+                quarters.append(len(np.unique(quarter[told])))
+            columns = [batch.column("toxic"), pa.array(folds, pa.int32()), pa.array(hits, pa.list_(pa.int64()))]
             columns += [pa.array(v, pa.int64()) for v in (words, telling, quarters)]
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "fold", "hits", "words", "telling", "quarters"])
 
-    got = chosen.mapInArrow(rows, "toxic int, fold int, hits array<long>, words long, telling long, quarters long").toPandas()
-    x = np.zeros((len(got), len(features)))
+    got = chosen.select("toxic", "text").mapInArrow(rows, "toxic int, fold int, hits array<long>, words long, telling long, quarters long").toPandas()
+    x = np.zeros((len(got), len(every)), np.uint8)
     for k, own in enumerate(got["hits"]):
         x[k, np.asarray(own, np.int64)] = 1
     toxic = got["toxic"].to_numpy() > 0
     share = got["telling"].to_numpy() / np.maximum(got["words"].to_numpy(), 1)
     dense = toxic & (share > (np.median(share[toxic]) if toxic.any() else 0))
     labels_of = np.stack([dense, toxic & (got["quarters"].to_numpy() > 1), toxic], axis=1)
-    return features, fit_chain(x, labels_of, got["fold"].to_numpy())
+    return lists[-1], fit_chain(x, labels_of, got["fold"].to_numpy(), [np.searchsorted(every, own) for own in lists])
 
 
 def _look_up(features: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(features):
+        return np.zeros(codes.shape, np.int64), np.zeros(codes.shape, bool)
     place = np.minimum(np.searchsorted(features, codes), len(features) - 1)
     return place, features[place] == codes
 
