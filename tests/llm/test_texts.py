@@ -157,10 +157,37 @@ def test_licenses(spark):
 
 def test_license_priority_and_containment():
     labels = lambda t: [x[2] for x in op10_licenses.spans(t)]
-    assert len(op10_licenses.SIGNATURES) > 300
     assert labels("Licensed under the Apache License, Version 2.0.") == ["apache-2.0"]
     assert labels("under the GNU Lesser General Public License v2.1 or later") == ["lgpl-2.1"]
     assert labels("Licensed under CC BY-NC-SA 4.0") == ["cc-by-nc-sa-4.0"] and labels("the community apache helicopter") == []
+    assert labels("GPLv3 or GPL v2") == ["gpl-3", "gpl-2"] and labels("SPDX-License-Identifier: GPL-2.0-or-later") == ["gpl-2.0"]
+    assert labels("SPDX-License-Identifier: Apache-2.0 // SPDX-License-Identifier: MIT") == ["apache-2.0", "mit"]
+    assert labels("the BSD 3-Clause License, then a 2-clause BSD license") == ["bsd-3-clause", "bsd-2-clause"]
+    for prose in ("asl 2", "bsl 1 0", "mpl 2", "all rights reserved", "the boost of 2 0", "an artistic view", "gnu and bsd", "mit 2"):
+        assert labels(f"we saw {prose} here") == [], prose
+
+
+def test_licenses_equal_a_plain_matcher():
+    """Every signature on every text without keywords, and suppression by its definition."""
+    rng = random.Random(11)
+    bits = ["gnu", "general public license", "lesser", "apache", "license", "version 2 0", "v3", "2 1", "cc by", "nc", "sa", "4 0", "mit", "bsd", "3 clause", "the", "gpl", "gplv2", "mozilla public", "licensed under the", "or later", "spdx license identifier", "creative commons attribution", "noncommercial", "share alike", "asl", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", "licence", "redistribution and use in source and binary forms with or without modification are permitted", "é"]
+    seen = set()
+    for _ in range(3_000):
+        text = " ".join(rng.choices(bits, k=rng.randint(1, 14)))
+        flat = f" {text} ".encode()
+        found = [(s.rank, *m.span(), op10_licenses.named(s, m)) for s in op10_licenses.SIGNATURES for m in s.words.finditer(flat)]
+        kept = []
+        for _, a, b, label in sorted(found):
+            if not any((c <= a and b <= d) or (a <= c and d <= b) for c, d, _ in kept):
+                kept.append((a, b, label))
+        assert [x[:3] for x in op10_licenses.detections(flat)] == sorted(kept), text
+        seen |= {label for _, _, label in kept}
+    assert len(seen) > 25
+
+
+def test_long_license_lists_take_linear_time():
+    for bit in ("cc by ", "gnu general public license ", "mit license apache license ", "redistribution and use ", "permission is hereby granted "):
+        op10_licenses.scan((bit * 40_000).encode())
 
 
 def test_toxicity(spark):

@@ -224,16 +224,18 @@ def read(docs: DataFrame) -> DataFrame:
         claim("pii")
         for batch in batches:
             bases, found, words = [], [], Counter()
-            for k in range(0, len(batch), 256):
-                for text in batch.column("text").slice(k, 256).to_pylist():
-                    base = base_spans(text) if text else []
-                    bases.append([dict(zip(("start", "rank", "end"), s)) for s in base])
-                    some = sites(text, base) if text and re.search("[0-9=:]", text) else []
-                    found.append([dict(zip(("start", "end", "instance", "seed", "known", "patterns"), s)) for s in some])
-                    words.update(_WORDS.findall(text.lower()) if text else ())
-            followed = [[{"pattern": f"word {w}", "n": n} for w, n in words.items() if not w.isdigit()]] + [None] * (len(batch) - 1)
-            columns = [batch.column(c) for c in ("doc_id", "_k", "_l")] + [pa.array(bases, _SPAN), pa.array(found, _SITE), pa.array(followed[: len(batch)], _FOLLOWED)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_k", "_l", "base", "sites", "followed"])
+            for k in range(0, len(batch), 256):  # as Arrow arrays these take far less memory than as objects
+                texts = batch.column("text").slice(k, 256).to_pylist()
+                spans = [base_spans(t) if t else [] for t in texts]
+                some = [sites(t, base) if t and re.search("[0-9=:]", t) else [] for t, base in zip(texts, spans)]
+                bases.append(pa.array([[dict(zip(("start", "rank", "end"), s)) for s in own] for own in spans], _SPAN))
+                found.append(pa.array([[dict(zip(("start", "end", "instance", "seed", "known", "patterns"), s)) for s in own] for own in some], _SITE))
+                for t in texts:
+                    words.update(_WORDS.findall(t.lower()) if t else ())
+            if bases:
+                followed = [[{"pattern": f"word {w}", "n": n} for w, n in words.items() if not w.isdigit()]] + [None] * (len(batch) - 1)
+                columns = [batch.column(c) for c in ("doc_id", "_k", "_l")] + [pa.concat_arrays(bases), pa.concat_arrays(found), pa.array(followed, _FOLLOWED)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_k", "_l", "base", "sites", "followed"])
 
     keyed = docs.select("doc_id", *row_key(docs), "text")
     return keyed.mapInArrow(each, f"doc_id {kind}, _k long, _l int, base {SPAN}, sites {SITE}, followed {FOLLOWED}")
