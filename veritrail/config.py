@@ -177,3 +177,8 @@ class Config:
     @property
     def credential_field(self) -> str | None:
         return next((r.get("id_field") for r in self.rules if r.get("type") == "expiry"), None)
+
+    @property
+    def checked_field(self) -> str | None:
+        """The field that says when somebody last looked a credential up."""
+        return next((r["field"] for r in self.rules if r.get("type") == "stale"), None)

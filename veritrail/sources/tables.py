@@ -50,18 +50,31 @@ def _unlike(names: list[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[list[str], DataFrame]:
+def _head(lines: DataFrame) -> str:
+    """The first line that is not blank, with what follows it; the file is read no further than that takes."""
+    some = lines.filter(F.regexp_replace("value", "\ufeff", "").rlike(r"[^\s,;|]"))
+    return "\n".join(r["value"] for r in some.limit(64).collect()).removeprefix("\ufeff")
+
+
+def _has_quoted_line_ends(lines: DataFrame) -> bool:
+    """Whether any line has an odd number of quotes, as one has that a quoted line end cuts."""
+    return bool(lines.filter(F.regexp_count("value", F.lit('"')) % 2 == 1).head(1))
+
+
+def read_delimited(spark: SparkSession, path: str, multi_line: bool | None = None) -> tuple[list[str], DataFrame]:
     """(headers, rows with ``ord`` and ``cells``). Short rows are filled with nulls, rows with too many cells left out.
 
-    ``multi_line`` allows line ends inside quotes, at the cost of one task a file; without it a file is split.
+    ``multi_line`` says whether quotes hold line ends, which costs one task a file; without them a file is split. Unless
+    it is given, the lines are looked through for it. The header is the first line with a value, wherever it stands.
     """
-    head = "\n".join(r["value"] for r in spark.read.option("encoding", "UTF-8").text(path).limit(64).collect())
-    head = head.removeprefix("﻿")
+    lines = spark.read.option("encoding", "UTF-8").text(path)
+    head = _head(lines)
     delimiter = sniff(head)
-    lines = (row for row in csv.reader(io.StringIO(head), delimiter=delimiter) if row)
-    headers = _unlike(next(lines, []))
+    headers = _unlike(next((row for row in csv.reader(io.StringIO(head), delimiter=delimiter) if row), []))
     if not headers:
         raise ValueError("the file has no header line")
+    if multi_line is None:
+        multi_line = _has_quoted_line_ends(lines)
     names = [f"c{k}" for k in range(len(headers))]
     # One column more than there are headers tells rows with too many cells; a null value that no file holds keeps
     # empty cells apart from missing ones.

@@ -91,11 +91,11 @@ class Store:
         self._decide(kind, key, None, "", True)
 
     def decisions(self, kind: str) -> DataFrame:
-        """key, value and note of the latest decision about each key, removed ones left out."""
+        """key, value, note, seq and time of the latest decision about each key, removed ones left out."""
         newest = Window.partitionBy("key").orderBy(F.desc("seq"))
         log = self._log("decisions", DECISIONS).filter(F.col("kind") == kind)
         latest = log.withColumn("_k", F.row_number().over(newest)).filter("_k = 1 and not removed")
-        return latest.select("key", F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"].alias("value"), "note")
+        return latest.select("key", F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"].alias("value"), "note", "seq", "created_at")
 
     def reset(self, keep_decisions: bool = False) -> None:
         """Delete all tables, the decisions too unless they are to be kept."""
