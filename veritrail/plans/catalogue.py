@@ -1,22 +1,28 @@
 """Every registered query of the engine, with the SQL it must equal.
 
-The tables are a star schema with an event stream, so each operator is rendered on them: orders stand for records,
-customers for entities, order dates for credentials, events for shifts. The operators' own functions do the work.
+The tables are a star schema with an event stream. ``worlds.py`` tells them as records; rules, reports, listings and issues
+are the engine's own, and so are the functions below. The SQL says the same from the tables alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Codes
+from .. import listings, pipeline, reports
+from ..config import Codes, Config
 from ..functions import dates, names, shifts, similarity, text
 from ..operators import golden as golden_ops
+from ..operators import issues as issue_ops
+from ..operators import rules
 from ..operators.issues import fingerprint
 from ..operators.link import name_pairs
+from ..sources import grid, tables
+from ..store import latest
+from . import worlds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,102 +61,124 @@ def _day(c: str) -> Column:
 AS_OF = "DATE '2001-08-01'"
 _AS_OF = lambda: F.lit("2001-08-01").cast("date")
 
+# The records of worlds.py, in SQL.
+_C = """c AS (
+    SELECT c_custkey, 'crm:' || c_custkey AS k, c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, c_mktsegment AS role,
+           CASE WHEN c_nationkey <> 7 THEN 'N' || c_nationkey END AS facility, DATE '1998-01-01' + ((c_custkey * 37) % 1500)::INT AS until FROM customer)"""
+_O = """o AS (
+    SELECT o_orderkey, 'crm:' || o_custkey AS k, o_orderdate::DATE AS ordered, o_orderdate::DATE + 60 AS closes, (o_orderkey % 24 + 1)::DOUBLE AS hours,
+           CASE WHEN year(o_orderdate) = 1998 THEN 'season' ELSE 'sales' END AS src, o_orderpriority FROM orders)"""
+_L = """l AS (
+    SELECT l_orderkey || '-' || l_linenumber AS line, 'crm:' || o_custkey AS k, o_orderdate::DATE AS ordered, l_shipdate::DATE AS shipped, l_quantity AS qty
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_E = f"""{_C}, {_O}, {_L}, e AS (
+    SELECT k, 'paid' AS kind, ordered AS day, closes AS last, hours FROM o UNION ALL SELECT k, 'scheduled', shipped, shipped, qty FROM l),
+x AS (
+    SELECT e.*, name, coalesce(facility, 'Unknown') AS facility, coalesce(role, 'Unknown') AS role, until, c.k IS NOT NULL AS anchored, coalesce(last > until AND hours <> 0, false) AS late
+    FROM e LEFT JOIN c ON c.k = e.k)"""
+
 # --- rules over one table
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"WITH {_L} SELECT line, count(*) AS n FROM l GROUP BY 1 HAVING count(*) > 1")
 def dup_key(spark, d):
-    """A key that several rows have."""
-    rows = _t(spark, d, "lineitem", "l_orderkey", "l_linenumber")
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """A key that several records have."""
+    found = worlds.trade(spark, d).rule({"type": "duplicate_key", "source": "shipping", "field": "line"})
+    return found.select(F.col("detail").alias("line"), F.size("record_keys").cast("long").alias("n"))
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer WHERE NOT (c_acctbal >= 0 AND c_acctbal <= 9000)")
+@query(f"WITH {_C} SELECT k AS entity_key, 'crm|' || c_custkey AS record FROM c WHERE balance < 100 OR balance > 9000")
 def numeric_range(spark, d):
-    return _t(spark, d, "customer", "c_custkey", "c_acctbal").filter(~F.col("c_acctbal").between(0, 9000))
+    found = worlds.trade(spark, d).rule({"type": "numeric_range", "source": "crm", "field": "balance", "min": 100, "max": 9000})
+    return found.select("entity_key", F.col("record_keys")[0].alias("record"))
 
 
-@query("""
-    SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS shipped, o_orderdate::DATE AS ordered
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate::DATE < o_orderdate::DATE""", "shipped", "ordered")
+@query(f"WITH {_L} SELECT 'shipping|' || line AS record, k AS entity_key FROM l WHERE shipped < ordered")
 def date_order(spark, d):
-    lines = _t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate")
-    orders = _t(spark, d, "orders", "o_orderkey", "o_orderdate")
-    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    return rows.select("l_orderkey", "l_linenumber", _day("l_shipdate").alias("shipped"), _day("o_orderdate").alias("ordered")).filter("shipped < ordered")
+    found = worlds.trade(spark, d).rule({"type": "date_order", "source": "shipping", "start": "ordered", "end": "shipped"})
+    return found.select(F.col("detail").alias("record"), "entity_key")
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderdate::DATE > DATE '2000-12-31'", "day")
+@query(f"WITH {_O} SELECT 'sales|' || o_orderkey AS record FROM o WHERE src = 'sales' AND ordered > DATE '2000-12-31'")
 def future_date(spark, d):
-    return _t(spark, d, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", _day("o_orderdate").alias("day")).filter("day > DATE '2000-12-31'")
+    world = worlds.trade(spark, d, date(2000, 12, 31))
+    return world.rule({"type": "future_date", "source": "sales", "field": "ordered"}).select(F.col("detail").alias("record"))
 
 
 @query(f"""
-    SELECT o_custkey, max(o_orderdate)::DATE AS last_day, date_diff('day', max(o_orderdate)::DATE, {AS_OF})::BIGINT AS age
-    FROM orders GROUP BY 1 HAVING date_diff('day', max(o_orderdate)::DATE, {AS_OF}) > 90""", "last_day")
+    WITH {_C}, {_O} SELECT 'season|' || o_orderkey AS record,
+      name || ' (' || c_custkey || '): last checked ' || ordered || ', ' || date_diff('day', ordered, {AS_OF}) || ' days ago (at most 1000 are allowed).' AS explanation
+    FROM o JOIN c ON c.k = o.k WHERE src = 'season' AND date_diff('day', ordered, {AS_OF}) > 1000""")
 def stale(spark, d):
-    last = _t(spark, d, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey").agg(F.max("o_orderdate").cast("date").alias("last_day"))
-    return last.withColumn("age", F.datediff(_AS_OF(), "last_day").cast("long")).filter("age > 90")
+    found = worlds.trade(spark, d).rule({"type": "stale", "source": "season", "field": "ordered", "max_age_days": 1000})
+    return found.select(F.col("detail").alias("record"), "explanation")
 
 
-@query("SELECT c_custkey, 'balance' AS field FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'segment' FROM customer WHERE c_mktsegment = 'BUILDING'")
+@query(f"WITH {_C} SELECT k AS entity_key, 'balance' AS field FROM c WHERE balance IS NULL UNION ALL SELECT k, 'facility' FROM c WHERE facility IS NULL")
 def required(spark, d):
-    """One finding for each field that counts as missing, from one scan."""
-    rows = _t(spark, d, "customer", "c_custkey", "c_acctbal", "c_mktsegment")
-    gone = F.array_compact(F.array(F.when(F.col("c_acctbal") < 0, F.lit("balance")), F.when(F.col("c_mktsegment") == "BUILDING", F.lit("segment"))))
-    return rows.select("c_custkey", F.explode(gone).alias("field"))
+    """One finding for each required field that is empty."""
+    return worlds.trade(spark, d).rule({"type": "required"}).select("entity_key", "field")
 
 
-@query("SELECT s_suppkey, strip_accents(lower(s_name)) AS name FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
-def top_k(spark, d):
-    rows = _t(spark, d, "supplier").filter("s_acctbal > 0").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(10)
-    return rows.select("s_suppkey", F.lower("s_name").alias("name"))
+@query(f"WITH {_O} SELECT src || '|' || o_orderkey AS record, 'price' AS field, src || '|' || o_orderkey || '|''low'' is no number' AS detail FROM o WHERE o_orderpriority = '5-LOW'")
+def invalid_value(spark, d):
+    """What could not be read, from the errors that records carry."""
+    found = worlds.trade(spark, d).rule({"type": "invalid_value"})
+    return found.select(F.col("record_keys")[0].alias("record"), "field", "detail")
 
 
-@query(f"""
-    SELECT user_id, week, round(sum(value), 2) AS total FROM (SELECT user_id, date_trunc('week', ts)::DATE AS week, value FROM events)
-    GROUP BY 1, 2 HAVING round(sum(value), 2) > 100""", "week")
+@query(f"WITH {_O} SELECT src || '|' || o_orderkey AS record, k AS entity_key FROM o WHERE hours > 2 * 61 / 7.0")
 def overtime(spark, d):
-    rows = _t(spark, d, "events", "user_id", "ts", "value").groupBy("user_id", F.date_trunc("week", "ts").cast("date").alias("week"))
-    return rows.agg(F.round(F.sum("value"), 2).alias("total")).filter("total > 100")
+    found = worlds.trade(spark, d).rule({"type": "overtime", "kind": "paid", "max_hours": 2})
+    return found.select(F.col("detail").alias("record"), "entity_key")
 
 
 @query("""
-    SELECT user_id, ts AS start_ts, next_ts FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events)
-    WHERE next_ts < ts + INTERVAL 30 MINUTE""")
+    SELECT 'user:' || user_id AS entity_key, strftime(t, '%Y-%m-%dT%H:%M:%S') || '|' || strftime(next, '%Y-%m-%dT%H:%M:%S') AS moments
+    FROM (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next FROM (SELECT user_id, event_id, date_trunc('second', ts) AS t FROM events))
+    WHERE next < t + INTERVAL 30 MINUTE""")
 def overlap(spark, d):
     """Neighbours in time that run into each other."""
-    turn = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = _t(spark, d, "events", "user_id", "ts", "event_id").withColumn("next_ts", F.lead("ts").over(turn))
-    return rows.filter(F.col("next_ts") < F.col("ts") + F.expr("INTERVAL 30 MINUTES")).select("user_id", F.col("ts").alias("start_ts"), "next_ts")
+    return worlds.clock(spark, d).rule({"type": "overlap", "kind": "scheduled"}).select("entity_key", F.col("detail").alias("moments"))
 
 
 # --- rules across tables
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1998)")
+@query(f"WITH {_C}, {_O} SELECT k AS entity_key, 'crm|' || c_custkey AS record FROM c WHERE k NOT IN (SELECT k FROM o WHERE src = 'season')")
 def missing_from(spark, d):
-    orders = _t(spark, d, "orders", "o_custkey", "o_orderdate").filter(F.year("o_orderdate") == 1998)
-    return _t(spark, d, "customer", "c_custkey", "c_name").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    found = worlds.trade(spark, d).rule({"type": "missing_from", "source": "season"})
+    return found.select("entity_key", F.col("record_keys")[0].alias("record"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+@query("SELECT 'order:' || o_orderkey AS entity_key, 'orders|' || o_orderkey AS record FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def not_in_anchor(spark, d):
-    lines = _t(spark, d, "lineitem", "l_orderkey")
-    return _t(spark, d, "orders", "o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    found = worlds.parcels(spark, d).rule({"type": "not_in_anchor", "source": "orders"})
+    return found.select("entity_key", F.col("record_keys")[0].alias("record"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr') AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query(f"WITH {_C} SELECT k AS entity_key FROM c WHERE role IN ('BUILDING', 'MACHINERY') AND balance IS NULL")
 def missing_value(spark, d):
-    return _t(spark, d, "documents", "doc_id", "lang").filter(F.col("lang").isin("en", "fr")).join(_t(spark, d, "labels", "doc_id"), "doc_id", "left_anti")
+    return worlds.trade(spark, d).rule({"type": "missing_value", "field": "balance", "roles": ["BUILDING", "MACHINERY"]}).select("entity_key")
 
 
 @query("""
-    SELECT l_orderkey, count(DISTINCT l_linestatus) AS n, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS vals
-    FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) > 1""")
+    WITH v AS (SELECT l_orderkey AS k, l_linestatus AS v FROM lineitem UNION ALL SELECT o_orderkey, o_orderstatus FROM orders)
+    SELECT 'order:' || k AS entity_key, string_agg(DISTINCT v, ',' ORDER BY v) AS vals, count(*) AS n FROM v GROUP BY k HAVING count(DISTINCT v) > 1""")
 def field_conflict(spark, d):
-    rows = _t(spark, d, "lineitem", "l_orderkey", "l_linestatus").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linestatus")).alias("v"))
-    return rows.filter(F.size("v") > 1).select("l_orderkey", F.size("v").cast("long").alias("n"), F.array_join("v", ",").alias("vals"))
+    found = worlds.parcels(spark, d).rule({"type": "field_conflict", "label": "Flag", "fields": {"lines": "flag", "orders": "flag"}})
+    return found.select("entity_key", F.array_join(F.from_json("vals", "values array<string>")["values"], ",").alias("vals"), F.size("record_keys").cast("long").alias("n"))
+
+
+@query(f"""
+    WITH {_C}, d AS (SELECT *, date_diff('day', {AS_OF}, until) AS days FROM c)
+    SELECT k AS entity_key, days::VARCHAR AS days, CASE WHEN days < 0 THEN 'critical' WHEN days <= 30 THEN 'warning' ELSE 'info' END AS severity,
+           CASE WHEN days < 0 THEN 'until expired' WHEN days <= 30 THEN 'until expires within 30 days' ELSE 'until expires within 90 days' END AS title
+    FROM d WHERE days <= 90""")
+def expiry(spark, d):
+    """Golden dates that have passed or come soon, in the tightest window that holds them."""
+    found = worlds.trade(spark, d).rule(worlds.TRADE["rules"][0])
+    return found.select("entity_key", F.get_json_object("vals", "$.days").alias("days"), "severity", "title")
 
 
 @query(f"""
@@ -163,52 +191,49 @@ def expiry_buckets(spark, d):
     return rows.withColumn("status", dates.expiry_bucket(F.col("days_left")))
 
 
-@query("""
-    SELECT o_custkey, round(sum(l_quantity), 2) AS hours, count(DISTINCT l_shipdate::DATE) AS days, min(l_shipdate)::DATE AS first_day
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate::DATE > o_orderdate::DATE + 90 AND l_quantity > 0 GROUP BY 1""", "first_day")
+@query(f"""
+    WITH {_C}, {_O} SELECT o.k AS entity_key, count(*) AS n, sum(hours) AS hours FROM o JOIN c ON c.k = o.k WHERE closes > until GROUP BY 1""")
 def activity_after_expiry(spark, d):
-    lines = _t(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_quantity").filter("l_quantity > 0")
-    orders = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    late = lines.join(orders, lines.l_orderkey == orders.o_orderkey).filter(_day("l_shipdate") > F.date_add(_day("o_orderdate"), 90))
-    return late.groupBy("o_custkey").agg(F.round(F.sum("l_quantity"), 2).alias("hours"), F.countDistinct(_day("l_shipdate")).alias("days"), F.min("l_shipdate").cast("date").alias("first_day"))
+    """Hours of periods that end after a golden date; the finding says how many, and names every record."""
+    found = worlds.trade(spark, d).rule(worlds.TRADE["rules"][1])
+    hours = F.regexp_extract("explanation", r"paid (\S+) hours", 1).cast("double")
+    return found.select("entity_key", (F.size("record_keys") - 1).cast("long").alias("n"), hours.alias("hours"))
 
 
-@query("""
-    SELECT o_orderkey, o_totalprice AS paid, round(coalesce(sum(l_extendedprice), 0), 2) AS scheduled FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
-    GROUP BY 1, 2 HAVING abs(o_totalprice - round(coalesce(sum(l_extendedprice), 0), 2)) > 0.5""")
-def hours_reconcile(spark, d):
-    lines = _t(spark, d, "lineitem", "l_orderkey", "l_extendedprice").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"))
-    orders = _t(spark, d, "orders", "o_orderkey", "o_totalprice")
-    rows = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
-    rows = rows.select("o_orderkey", F.col("o_totalprice").alias("paid"), F.round(F.coalesce("s", F.lit(0.0)), 2).alias("scheduled"))
-    return rows.filter(F.abs(F.col("paid") - F.col("scheduled")) > 0.5)
-
+_PERIODS = f"""
+    WITH {_O}, {_L} SELECT src || '|' || o_orderkey AS record, o.k AS entity_key, hours AS paid, coalesce(sum(qty), 0) AS planned
+    FROM o LEFT JOIN l ON l.k = o.k AND shipped BETWEEN o.ordered AND o.closes WHERE o.k IN (SELECT k FROM l) GROUP BY ALL"""
+_RECONCILE = {"type": "hours_reconcile", "scheduled": "scheduled", "paid": "paid", "tolerance": 20}
 
-_PERIODS = "SELECT DISTINCT user_id, date_trunc('week', ts)::DATE AS a, date_trunc('week', ts)::DATE + 4 AS b FROM events WHERE event_type = 'click'"
 
-
-def _periods(spark, d):
-    week = F.date_trunc("week", "ts").cast("date")
-    rows = _t(spark, d, "events", "user_id", "ts", "event_type").filter("event_type = 'click'")
-    return rows.select("user_id", week.alias("a"), F.date_add(week, 4).alias("b")).distinct()
+@query(f"SELECT entity_key, record, paid, planned FROM ({_PERIODS}) WHERE abs(planned - paid) > 20")
+def hours_reconcile(spark, d):
+    found = worlds.trade(spark, d).rule(_RECONCILE).filter("detail <> 'uncovered'")
+    of = lambda k: F.get_json_object("vals", f"$.{k}").cast("double")
+    paid_by = F.filter("record_keys", lambda x: ~x.startswith("shipping"))[0]
+    return found.select("entity_key", paid_by.alias("record"), of("paid").alias("paid"), of("scheduled").alias("planned"))
 
 
-@query(f"""
-    SELECT p.user_id, p.a, count(e.event_id) AS n, round(coalesce(sum(e.value), 0), 2) AS total FROM ({_PERIODS}) p
-    LEFT JOIN events e ON e.user_id = p.user_id AND e.ts::DATE BETWEEN p.a AND p.b GROUP BY 1, 2""", "a")
+@query(_PERIODS)
 def range_join(spark, d):
-    """Events inside periods of the same user: an equi join with a range beside it."""
-    e = _t(spark, d, "events", "user_id", "event_id", "ts", "value").withColumnRenamed("user_id", "who")
-    on = (F.col("who") == F.col("user_id")) & _day("ts").between(F.col("a"), F.col("b"))
-    joined = _periods(spark, d).join(e, on, "left").groupBy("user_id", "a")
-    return joined.agg(F.count("event_id").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 2).alias("total"))
+    """Work inside the pay periods of the same entity: an equal join with a range beside it."""
+    periods, _ = rules.reconciled(worlds.trade(spark, d).context, _RECONCILE)
+    return periods.select(F.col("record_key").alias("record"), "entity_key", F.col("hours").alias("paid"), "planned")
 
 
-@query(f"SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM ({_PERIODS}) p WHERE p.user_id = e.user_id AND e.ts::DATE BETWEEN p.a AND p.b)")
+@query(f"WITH {_O}, {_L} SELECT k AS entity_key, shipped AS day, 'shipping|' || line AS record FROM l WHERE k IN (SELECT k FROM o) AND NOT EXISTS (SELECT 1 FROM o WHERE o.k = l.k AND shipped BETWEEN o.ordered AND o.closes)", "day")
 def range_anti_join(spark, d):
-    e = _t(spark, d, "events", "event_id", "user_id", "ts").alias("e")
-    on = (F.col("e.user_id") == F.col("p.user_id")) & F.col("e.ts").cast("date").between(F.col("p.a"), F.col("p.b"))
-    return e.join(_periods(spark, d).alias("p"), on, "left_anti").select("event_id", "user_id")
+    """Work that no pay period of its entity covers."""
+    _, loose = rules.reconciled(worlds.trade(spark, d).context, _RECONCILE)
+    return loose.select("entity_key", "day", F.col("shift_key").alias("record"))
+
+
+@query(f"""
+    WITH {_O}, {_L} SELECT k AS entity_key, count(DISTINCT shipped) AS days FROM l
+    WHERE k IN (SELECT k FROM o) AND NOT EXISTS (SELECT 1 FROM o WHERE o.k = l.k AND shipped BETWEEN o.ordered AND o.closes) GROUP BY 1""")
+def uncovered(spark, d):
+    found = worlds.trade(spark, d).rule(_RECONCILE).filter("detail = 'uncovered'")
+    return found.select("entity_key", F.regexp_count("explanation", F.lit(r"\d{4}-\d\d-\d\d")).cast("long").alias("days"))
 
 
 # --- golden records, votes, reports
@@ -237,161 +262,192 @@ def conflicts_list(spark, d):
     return rows.select(F.col("entity_key").cast("long").alias("o_custkey"), F.array_join(F.transform("conflicts", lambda c: c["value"]), ",").alias("losing"))
 
 
-@query("""
-    WITH v AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
-    t AS (SELECT *, max(n) OVER (PARTITION BY l_orderkey) AS top FROM v)
-    SELECT l_orderkey, CASE WHEN count(*) FILTER (n = top) = 1 THEN max(CASE WHEN n = top THEN l_returnflag END) END AS winner FROM t GROUP BY 1""")
+@query(f"""
+    WITH {_C} SELECT k AS entity_key, unnest(['display_name', 'id', 'balance', 'role', 'facility', 'until']) AS field,
+      unnest([name, c_custkey::VARCHAR, balance::VARCHAR, role, facility, until::VARCHAR]) AS value FROM c""".join(["SELECT * FROM (", ") WHERE value IS NOT NULL"]))
+def golden_rows(spark, d):
+    """Long golden records of the anchor, values as text."""
+    return worlds.trade(spark, d).table("golden").filter("source = 'crm'").select("entity_key", "field", "value")
+
+
+@query(f"WITH {_E} SELECT k AS entity_key, kind, day, last, hours FROM e", "day", "last")
+def event_rows(spark, d):
+    """Pay periods and scheduled work as events."""
+    events = worlds.trade(spark, d).table("events")
+    return events.select("entity_key", "kind", F.col("start_date").alias("day"), F.col("end_date").alias("last"), "hours")
+
+
+_VOTES = """
+    v AS (SELECT DISTINCT 'order:' || l_orderkey AS k, 's' || (l_suppkey % 3) AS src, l_returnflag AS val FROM lineitem),
+    t AS (SELECT k, val, count(*) AS n FROM v GROUP BY 1, 2),
+    w AS (SELECT k, CASE WHEN count(*) FILTER (n = top) = 1 THEN max(CASE WHEN n = top THEN val END) END AS winner, count(*) AS vals
+          FROM (SELECT *, max(n) OVER (PARTITION BY k) AS top FROM t) GROUP BY 1)"""
+_STATUS = f"""
+    WITH {_VOTES}, o AS (SELECT k, src, count(*) AS n, max(val) AS val FROM v GROUP BY 1, 2)
+    SELECT w.k AS entity_key, x.src AS source, CASE WHEN o.src IS NULL THEN 'missing' WHEN vals > 1 AND (winner IS NULL OR o.n > 1 OR o.val <> winner) THEN 'differs' ELSE 'agrees' END AS status
+    FROM w CROSS JOIN (SELECT unnest(['s0', 's1', 's2']) AS src) x LEFT JOIN o ON o.k = w.k AND o.src = x.src"""
+
+
+@query(f"WITH {_VOTES} SELECT k AS entity_key, winner FROM w")
 def majority_vote(spark, d):
     """The one commonest value, or none where several are equally common."""
-    votes = _t(spark, d, "lineitem", "l_orderkey", "l_returnflag").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    rows = votes.groupBy("l_orderkey").agg(F.max(F.struct("n", "l_returnflag")).alias("top"), F.collect_list("n").alias("all"))
-    alone = F.size(F.filter("all", lambda n: n == F.col("top.n"))) == 1
-    return rows.select("l_orderkey", F.when(alone, F.col("top.l_returnflag")).alias("winner"))
+    context = worlds.polls(spark, d).context
+    votes = rules.compared(context, worlds.POLLS["rules"][0]).select("entity_key", "source", "canonical").distinct()
+    return reports.majority(votes).select("entity_key", "winner")
 
 
-@query("""
-    SELECT c_mktsegment AS segment, o_orderpriority AS priority, count(DISTINCT o_custkey) AS headcount,
-           round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS paid, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END), 2) AS scheduled
-    FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT (o_orderdate::DATE > DATE '2000-12-31' AND c_acctbal < 0) GROUP BY 1, 2""")
+@query(_STATUS)
+def agreement_status(spark, d):
+    """Does each source say what most sources say about an entity?"""
+    world = worlds.polls(spark, d)
+    return reports.agreement(world.cfg, world).select("entity_key", "source", "status")
+
+
+@query(f"SELECT entity_key, bool_and(status = 'agrees') AS all_agree FROM ({_STATUS}) GROUP BY 1")
+def agreement_rollup(spark, d):
+    world = worlds.polls(spark, d)
+    return reports.agreement_rollup(world.cfg, world).select("entity_key", "all_agree")
+
+
+@query(f"""
+    WITH {_E} SELECT facility, role, count(DISTINCT k) AS headcount, round(sum(CASE WHEN kind = 'paid' THEN hours ELSE 0 END), 2) AS paid_hours,
+      round(sum(CASE WHEN kind = 'scheduled' THEN hours ELSE 0 END), 2) AS scheduled_hours,
+      round(round(sum(CASE WHEN kind = 'paid' THEN hours ELSE 0 END), 2) - round(sum(CASE WHEN kind = 'scheduled' THEN hours ELSE 0 END), 2), 2) AS variance FROM x WHERE NOT late GROUP BY 1, 2""")
 def staffing_grid(spark, d):
-    """Heads and conditional sums by two keys, some rows left out by a fact of their entity."""
-    customers = _t(spark, d, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
-    orders = _t(spark, d, "orders", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
-    rows = orders.join(customers, orders.o_custkey == customers.c_custkey).filter(~((_day("o_orderdate") > "2000-12-31") & (F.col("c_acctbal") < 0)))
-    of = lambda s: F.round(F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")).otherwise(0.0)), 2)
-    keys = [F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority")]
-    return rows.groupBy(*keys).agg(F.countDistinct("o_custkey").alias("headcount"), of("F").alias("paid"), of("O").alias("scheduled"))
+    """Heads and hours by place and role, hours after an expiry left out."""
+    world = worlds.trade(spark, d)
+    return reports.staffing(world.cfg, world)
 
 
-@query("SELECT ts::DATE AS day, event_type, round(sum(value), 2) AS total FROM events GROUP BY 1, 2", "day")
+@query(f"WITH {_E} SELECT day AS date, facility, role, sum(hours) AS scheduled_hours FROM x WHERE NOT late AND kind = 'scheduled' AND day BETWEEN DATE '1998-07-01' AND DATE '1998-09-30' GROUP BY 1, 2, 3", "date")
 def daily_hours(spark, d):
-    return _t(spark, d, "events", "ts", "event_type", "value").groupBy(_day("ts").alias("day"), "event_type").agg(F.round(F.sum("value"), 2).alias("total"))
+    world = worlds.trade(spark, d)
+    return reports.staffing_daily(world.cfg, world, "1998Q3")
 
 
-@query("""
-    SELECT ts::DATE AS day, round(coalesce(sum(value) FILTER (event_type = 'click'), 0), 2) AS click, round(coalesce(sum(value) FILTER (event_type = 'view'), 0), 2) AS view,
-           round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 2) AS purchase FROM events GROUP BY 1""", "day")
+@query(f"WITH {_E} SELECT day::VARCHAR AS day, facility, role, sum(hours) AS hours FROM x WHERE NOT late AND kind = 'scheduled' AND day BETWEEN DATE '1998-07-01' AND DATE '1998-09-30' GROUP BY 1, 2, 3 HAVING sum(hours) <> 0")
 def pivot_daily(spark, d):
-    rows = _t(spark, d, "events", "ts", "event_type", "value").groupBy(_day("ts").alias("day")).pivot("event_type", ["click", "view", "purchase"])
-    return rows.agg(F.round(F.sum("value"), 2)).na.fill(0.0)
+    """A column per day, turned back into rows."""
+    world = worlds.trade(spark, d)
+    wide = reports.staffing_pivot(world.cfg, world, "1998Q3")
+    days = [c for c in wide.columns if c not in ("facility", "role")]
+    return wide.unpivot(["facility", "role"], days, "day", "hours").filter("hours <> 0") if days else wide.select(F.lit("").alias("day"), "facility", "role", F.lit(0.0).alias("hours"))
 
 
-@query(f"""
-    WITH c AS (SELECT c_custkey, min(o_orderdate)::DATE + 1500 AS expires FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)
-    SELECT c.c_custkey, expires, date_diff('day', {AS_OF}, expires)::BIGINT AS days_left, count(*) FILTER (o_orderdate::DATE > expires) AS after_expiry,
-           min(o_orderdate::DATE) FILTER (o_orderdate::DATE >= DATE '2000-01-01') AS next_day FROM c JOIN orders ON o_custkey = c.c_custkey GROUP BY 1, 2""", "expires", "next_day")
-def credentials_shape(spark, d):
-    """An expiry per entity with counts of what came after it and the next event: one join, conditional sums."""
-    orders = _t(spark, d, "orders", "o_custkey", "o_orderdate").select(F.col("o_custkey").alias("c_custkey"), _day("o_orderdate").alias("day"))
-    until = orders.groupBy("c_custkey").agg(F.date_add(F.min("day"), 1500).alias("expires"))
-    rows = until.join(orders, "c_custkey").groupBy("c_custkey", "expires")
-    rows = rows.agg(F.count_if(F.col("day") > F.col("expires")).alias("after_expiry"), F.min(F.when(F.col("day") >= "2000-01-01", F.col("day"))).alias("next_day"))
-    return rows.withColumn("days_left", F.datediff("expires", _AS_OF()).cast("long"))
+@query(f"WITH {_E} SELECT name, hours, kind || ' on ' || day || ', expired ' || until AS reason FROM x WHERE late")
+def excluded_hours(spark, d):
+    world = worlds.trade(spark, d)
+    return reports.staffing_excluded(world.cfg, world)
 
 
-@query("""
-    WITH v AS (SELECT DISTINCT l_orderkey, l_suppkey % 3 AS src, l_returnflag AS val FROM lineitem),
-    t AS (SELECT l_orderkey, val, count(*) AS n FROM v GROUP BY 1, 2),
-    w AS (SELECT l_orderkey, CASE WHEN count(*) FILTER (n = top) = 1 THEN max(CASE WHEN n = top THEN val END) END AS winner, count(*) AS vals
-          FROM (SELECT *, max(n) OVER (PARTITION BY l_orderkey) AS top FROM t) GROUP BY 1),
-    s AS (SELECT DISTINCT l_orderkey FROM lineitem),
-    o AS (SELECT l_orderkey, src, count(*) AS n, max(val) AS val FROM v GROUP BY 1, 2)
-    SELECT s.l_orderkey, x.src::BIGINT AS src, CASE WHEN o.src IS NULL THEN 'missing' WHEN vals > 1 AND (winner IS NULL OR o.n > 1 OR o.val <> winner) THEN 'differs' ELSE 'agrees' END AS status
-    FROM s CROSS JOIN (SELECT unnest([0, 1, 2]) AS src) x LEFT JOIN o ON o.l_orderkey = s.l_orderkey AND o.src = x.src JOIN w ON w.l_orderkey = s.l_orderkey""")
-def agreement_status(spark, d):
-    """Does each source say what most sources say about an entity?"""
-    rows = _t(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_returnflag")
-    votes = rows.select("l_orderkey", (F.col("l_suppkey") % 3).alias("src"), F.col("l_returnflag").alias("val")).distinct()
-    tally = votes.groupBy("l_orderkey", "val").agg(F.count(F.lit(1)).alias("n"))
-    poll = tally.groupBy("l_orderkey").agg(F.max(F.struct("n", "val")).alias("top"), F.collect_list("n").alias("all"))
-    alone = F.size(F.filter("all", lambda n: n == F.col("top.n"))) == 1
-    poll = poll.select("l_orderkey", F.when(alone, F.col("top.val")).alias("winner"), F.size("all").alias("vals"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("src"))
-    own = votes.groupBy("l_orderkey", "src").agg(F.collect_set("val").alias("own"))
-    odd = (F.col("vals") > 1) & (F.col("winner").isNull() | (F.size("own") > 1) | ~F.array_contains("own", F.col("winner")))
-    status = F.when(F.col("own").isNull(), "missing").when(odd, "differs").otherwise("agrees")
-    return poll.join(own, ["l_orderkey", "src"], "left").select("l_orderkey", "src", status.alias("status"))
-
-
-@query("""
-    SELECT 'status' AS kind, o_orderstatus AS name, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2""")
-def summary_counters(spark, d):
-    rows = _t(spark, d, "orders", "o_orderstatus", "o_orderpriority")
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (("status", "o_orderstatus"), ("priority", "o_orderpriority"))])
-    return rows.select(F.inline(pairs)).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+@query(f"""
+    WITH {_C}, {_L} SELECT c_custkey::VARCHAR AS number, facility, role, until AS expires, date_diff('day', {AS_OF}, until)::BIGINT AS days_left,
+      count(*) FILTER (shipped > until) AS shifts_after_expiry, min(shipped) FILTER (shipped >= {AS_OF}) AS next_shift,
+      CASE WHEN until < {AS_OF} THEN 'EXPIRED' WHEN until <= {AS_OF} + 30 THEN '<30 days' WHEN until <= {AS_OF} + 90 THEN '<90 days' ELSE 'ok' END AS status
+    FROM c LEFT JOIN l ON l.k = c.k GROUP BY ALL""", "expires", "next_shift")
+def credentials_shape(spark, d):
+    """Credentials with the days left, what came after their end, and the next shift."""
+    world = worlds.trade(spark, d)
+    rows = reports.credentials(world.cfg, world).withColumn("days_left", F.col("days_left").cast("long"))
+    return rows.select("number", "facility", "role", "expires", "days_left", "shifts_after_expiry", "next_shift", "status")
 
 
-@query("SELECT n_name AS nation, count(DISTINCT s_suppkey) AS people FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0 GROUP BY 1")
+@query(f"WITH {_E} SELECT facility, role, count(DISTINCT k) AS people FROM x WHERE kind = 'scheduled' AND anchored AND until >= day GROUP BY 1, 2")
 def capacity(spark, d):
-    s, n = _t(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal"), _t(spark, d, "nation", "n_nationkey", "n_name")
-    return s.filter("s_acctbal >= 0").join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("nation")).agg(F.countDistinct("s_suppkey").alias("people"))
+    world = worlds.trade(spark, d)
+    return reports.capacity(world.cfg, world)
 
 
-@query("SELECT DISTINCT n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0")
+@query(f"WITH {_E} SELECT DISTINCT coalesce(name, k) AS name FROM x WHERE kind = 'scheduled' AND NOT coalesce(anchored AND until >= day, false)")
 def not_counted(spark, d):
-    s, n = _t(spark, d, "supplier", "s_nationkey", "s_acctbal"), _t(spark, d, "nation", "n_nationkey", "n_name")
-    return s.filter("s_acctbal < 0").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("nation")).distinct()
+    world = worlds.trade(spark, d)
+    return reports.not_counted(world.cfg, world)
 
 
-@query("SELECT min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day, count(*) AS n FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1998-07-01' AND DATE '1998-09-30'", "first_day", "last_day")
+@query(f"WITH {_E} SELECT min(day) AS first_day, max(last) AS last_day FROM e WHERE day BETWEEN DATE '1998-07-01' AND DATE '1998-09-30'", "first_day", "last_day")
 def coverage(spark, d):
     """A quarter's rows: the bounds reach the scan."""
-    start, end = dates.quarter_bounds("1998Q3")
-    rows = _t(spark, d, "orders", "o_orderdate").filter(_day("o_orderdate").between(start, end))
-    return rows.agg(F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day"), F.count(F.lit(1)).alias("n"))
+    seen = reports.coverage(worlds.trade(spark, d), "1998Q3")
+    return spark.createDataFrame([(seen["first"], seen["last"])], "first_day date, last_day date")
 
 
-# --- identity, sets, order
+# --- issues: identity, order, state
 
+_ISSUES = f"""
+    WITH {_C}, {_O}, found AS (
+      SELECT 'expiry' AS rule_id, k, 'until' AS field, CASE WHEN until < {AS_OF} THEN 'until expired' WHEN until <= {AS_OF} + 30 THEN 'until expires within 30 days' ELSE 'until expires within 90 days' END AS detail,
+             CASE WHEN until < {AS_OF} THEN 'critical' WHEN until <= {AS_OF} + 30 THEN 'warning' ELSE 'info' END AS severity FROM c WHERE until <= {AS_OF} + 90
+      UNION ALL SELECT DISTINCT 'activity_after_expiry', o.k, 'until', 'after_expiry', 'critical' FROM o JOIN c ON c.k = o.k WHERE closes > until
+      UNION ALL SELECT 'missing_from', k, '', 'season', 'warning' FROM c WHERE k NOT IN (SELECT k FROM o WHERE src = 'season')
+      UNION ALL SELECT 'numeric_range', k, 'balance', 'crm|' || c_custkey, 'info' FROM c WHERE balance < 100 OR balance > 9000)
+    SELECT *, substr(sha1(rule_id || '|' || k || '|' || field || '|' || detail), 1, 16) AS fingerprint,
+      row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, rule_id, (SELECT name || ' (' || c_custkey || ')' FROM c WHERE c.k = found.k)) AS place FROM found"""
 
-@query("SELECT doc_id, substr(sha1(text), 1, 16) AS fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
-def dedupe_keep_first(spark, d):
-    rows = _t(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha1("text").alias("h"))
-    return rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.substring("h", 1, 16).alias("fingerprint"))
 
+@query(f"SELECT rule_id, severity, k AS entity_key, fingerprint FROM ({_ISSUES})")
+def union_records(spark, d):
+    """The findings of all rules as issues, with the fingerprints that keep them the same from run to run."""
+    return worlds.trade(spark, d).table("issues").select("rule_id", "severity", "entity_key", "fingerprint")
 
-@query("SELECT o_orderkey, substr(sha1('stale|' || o_custkey::VARCHAR || '||' || o_orderkey::VARCHAR), 1, 16) AS fingerprint FROM orders")
-def issue_fingerprint(spark, d):
-    rows = _t(spark, d, "orders", "o_orderkey", "o_custkey").withColumns({"rule_id": F.lit("stale"), "field": F.lit(None).cast("string")})
-    return rows.select("o_orderkey", fingerprint("rule_id", "o_custkey", "field", "o_orderkey").alias("fingerprint"))
 
+@query(f"SELECT fingerprint, place FROM ({_ISSUES})")
+def issue_order(spark, d):
+    """The order of all issues, numbered part by part."""
+    return tables.numbered(worlds.trade(spark, d).table("issues").select("fingerprint")).select("fingerprint", (F.col("ord") + 1).alias("place"))
 
-@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
-def latest_decision(spark, d):
-    """The newest row of each key, by a sum instead of a sort."""
-    rows = _t(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate").groupBy("o_custkey")
-    return rows.agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("m")).select("o_custkey", "m.o_orderkey", "m.o_orderstatus")
 
+@query(f"SELECT fingerprint, severity FROM ({_ISSUES}) WHERE severity <> 'info' ORDER BY place LIMIT 10")
+def top_k(spark, d):
+    """The first ten issues of weight."""
+    return listings.issues(worlds.trade(spark, d), ["critical", "warning"]).limit(10).select("fingerprint", "severity")
 
-@query("SELECT o_orderkey AS k FROM orders UNION ALL SELECT l_orderkey FROM lineitem")
-def union_records(spark, d):
-    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("k")).unionByName(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")))
 
+@query(f"SELECT CASE severity WHEN 'critical' THEN 'critical' ELSE severity END AS name, count(*) AS n FROM ({_ISSUES}) GROUP BY 1")
+def summary_counters(spark, d):
+    counts = pipeline._weighed(worlds.trade(spark, d).table("issues"))
+    return spark.createDataFrame(sorted(counts["open"].items()), "name string, n long")
 
-@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
-def intersect_keys(spark, d):
-    rows = _t(spark, d, "orders", "o_custkey", "o_orderstatus")
-    one = lambda s: rows.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
-    return one("F").intersect(one("P"))
 
+@query(f"SELECT fingerprint, 1 AS step FROM ({_ISSUES}) WHERE rule_id = 'missing_from'")
+def dedupe_keep_first(spark, d):
+    """Findings with one fingerprint are one issue, the first rule's."""
+    world = worlds.trade(spark, d)
+    found = world.rule(worlds.TRADE["rules"][2]).withColumn("stage", F.lit(2))
+    both = found.withColumn("step", F.lit(5)).unionByName(found.withColumn("step", F.lit(1)))
+    return issue_ops.finish(world.cfg, both, world.context.names, None).select("fingerprint", F.col("position.step").alias("step"))
 
-@query("SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
+
+@query(f"SELECT k AS entity_key, name AS person FROM ({_ISSUES.replace('SELECT *, substr', 'SELECT found.*, (SELECT name FROM c WHERE c.k = found.k) AS name, substr')}) WHERE rule_id = 'expiry' AND severity = 'critical' AND name LIKE '%7'")
+def issue_filter(spark, d):
+    """Issues by severity, state and title, with the people they are about."""
+    found = listings.issues(worlds.trade(spark, d), ["critical"], "open", ["until expired"])
+    return found.filter(F.col("person").endswith("7")).select("entity_key", "person")
+
+
+@query("SELECT 'order:' || o_orderkey AS entity_key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def except_keys(spark, d):
-    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("k")).subtract(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")))
+    """Entities that the anchor does not know."""
+    world = worlds.parcels(spark, d)
+    return listings.entities(world.cfg, world, False).select("entity_key")
 
 
-@query("""
-    SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey) AS place
-    FROM orders ORDER BY place LIMIT 100""")
-def issue_order(spark, d):
-    """The first hundred of a severity order; only they are numbered."""
-    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
-    rows = _t(spark, d, "orders", "o_orderkey", "o_orderpriority").orderBy(rank, "o_orderkey").limit(100)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(rank, "o_orderkey")).cast("long"))
+@query("SELECT o_orderkey, substr(sha1('stale|' || o_custkey::VARCHAR || '||' || o_orderkey::VARCHAR), 1, 16) AS fingerprint FROM orders")
+def issue_fingerprint(spark, d):
+    rows = _t(spark, d, "orders", "o_orderkey", "o_custkey").withColumns({"rule_id": F.lit("stale"), "field": F.lit(None).cast("string")})
+    return rows.select("o_orderkey", fingerprint("rule_id", "o_custkey", "field", "o_orderkey").alias("fingerprint"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def json_field(spark, d):
-    return _t(spark, d, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+@query("""
+    SELECT o_custkey::VARCHAR AS key, o_orderpriority AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders)
+    WHERE k = 1 AND o_orderstatus <> 'P'""")
+def latest_decision(spark, d):
+    """What stands of a log: the newest row of each key, its value read from JSON, unless it takes the key back."""
+    seq = F.datediff("o_orderdate", F.lit("1970-01-01")).cast("long") * 1_000_000_000 + F.col("o_orderkey")
+    log = _t(spark, d, "orders").select(
+        seq.alias("seq"), F.lit("close").alias("kind"), F.col("o_custkey").cast("string").alias("key"), F.concat(F.lit('"'), "o_orderpriority", F.lit('"')).alias("value"),
+        F.lit("").alias("note"), F.lit(None).cast("timestamp").alias("created_at"), (F.col("o_orderstatus") == "P").alias("removed"),
+    )
+    return latest(log).select("key", "value")
 
 
 # --- functions
@@ -497,13 +553,22 @@ def shift_parse(spark, d):
 
 
 @query("""
-    SELECT user_id, day, n FROM (SELECT user_id, count(*) FILTER (isodow(ts) = 1) AS mon, count(*) FILTER (isodow(ts) = 2) AS tue, count(*) FILTER (isodow(ts) = 3) AS wed FROM events GROUP BY 1)
-    UNPIVOT (n FOR day IN (mon, tue, wed)) WHERE n > 0""")
+    SELECT DISTINCT 'User ' || user_id AS name, DATE '2026-03-01' + isodow(ts)::INT AS day, 8.0::DOUBLE AS hours FROM events WHERE isodow(ts) <= 3""", "day")
 def unpivot_grid(spark, d):
-    """A column per day turned into a row per day, empty cells left out."""
+    """Printed grids with a column per day turned into a row per person and day, empty cells left out; one page for each user."""
+    cfg = Config.of({"sources": {"bill": {"loader": "pdf_grid", "fields": {"name": {"type": "person_name"}}}}})
     rows = _t(spark, d, "events", "user_id", "ts").groupBy("user_id")
-    grid = rows.agg(*[F.count_if(F.dayofweek("ts") == k).alias(n) for k, n in ((2, "mon"), (3, "tue"), (4, "wed"))])
-    return grid.unpivot("user_id", ["mon", "tue", "wed"], "day", "n").filter("n > 0")
+    days = {"Mon 03/02": 2, "Tue 03/03": 3, "Wed 03/04": 4}
+    due = rows.agg(*[F.max(F.dayofweek("ts") == k).alias(n) for n, k in days.items()])
+    cells = F.array(F.concat(F.lit("User "), F.col("user_id").cast("string")), *[F.when(F.col(f"`{n}`"), "8a-4p").otherwise("off") for n in days])
+    sheet = F.struct(F.array(F.lit("name"), *[F.lit(n) for n in days]).alias("header"), F.array(cells).alias("rows"))
+    none = F.lit(None).cast("string")
+    facts = due.select(
+        F.lit("bill.pdf").alias("file"), F.lit(0).alias("file_ord"), F.col("user_id").cast("int").alias("page"), none.alias("place"), F.lit("").alias("title"),
+        F.create_map().cast("map<string,double>").alias("legend"), F.lit(2026).alias("year"), F.array(sheet).alias("grids"),
+    )
+    read = grid.grid_records(cfg, "bill", facts, 2026).select(F.col("norm.name").alias("name"), F.explode("norm._shifts").alias("s"))
+    return read.select("name", F.col("s.date").alias("day"), F.col("s.hours").alias("hours"))
 
 
 @query("""
@@ -523,8 +588,6 @@ def ladder_records(spark: SparkSession, d: str):
     Customers have a first name of their own and the last name of a family of eight; the first hundred are one family.
     An order has its customer's name in full, with a shortened first name, or with the last name cut.
     """
-    from ..config import Config
-
     cfg = Config.of(
         {
             "sources": {

@@ -12,7 +12,7 @@ from datetime import date, datetime, timezone
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUNS = "id long, snapshot long, started_at timestamp, as_of date, config string, files string, summary string"
@@ -21,6 +21,14 @@ SNAPSHOT = ("records", "file_issues")
 DERIVED = ("links", "entities", "golden", "events", "issues")
 
 
+def latest(log: DataFrame) -> DataFrame:
+    """What stands of a log of decisions: the newest of each key, unless it takes the key's decision back."""
+    rest = [c for c in log.columns if c != "key"]
+    newest = log.groupBy("key").agg(F.max_by(F.struct(*rest), "seq").alias("d")).filter("not d.removed")
+    value = F.from_json(F.concat(F.lit('{"v":'), "d.value", F.lit("}")), "v string")["v"]
+    return newest.select("key", value.alias("value"), "d.note", "d.seq", "d.created_at")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -92,10 +100,7 @@ class Store:
 
     def decisions(self, kind: str) -> DataFrame:
         """key, value, note, seq and time of the latest decision about each key, removed ones left out."""
-        newest = Window.partitionBy("key").orderBy(F.desc("seq"))
-        log = self._log("decisions", DECISIONS).filter(F.col("kind") == kind)
-        latest = log.withColumn("_k", F.row_number().over(newest)).filter("_k = 1 and not removed")
-        return latest.select("key", F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"].alias("value"), "note", "seq", "created_at")
+        return latest(self._log("decisions", DECISIONS).filter(F.col("kind") == kind))
 
     def reset(self, keep_decisions: bool = False) -> None:
         """Delete all tables, the decisions too unless they are to be kept."""
