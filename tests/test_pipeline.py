@@ -50,7 +50,7 @@ def test_what_was_planted_is_found_and_nothing_else(sunk):
     assert by["anchor_key"] == 22 and by["strong_key"] == len(line.registry) and by["unmatched"] == 2
 
 
-@pytest.mark.parametrize("seed", [2, 3])
+@pytest.mark.parametrize("seed", [2])
 def test_any_few_faults_come_back(spark, cfg, tmp_path, seed):
     """Faults by chance, at other people of another line: findings add up as the faults do."""
     rng = random.Random(seed)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, header_name
 from ..functions.text import clean
+from ..operators.components import staged
 from ..operators.normalize import normalize, record_schema
 from . import grid, tables
 from .detect import detect_source, map_headers
@@ -89,7 +90,7 @@ def _year(cfg: Config, records: DataFrame | None) -> int:
 def ingest_files(cfg: Config, spark: SparkSession, paths: Iterable[str | Path], pages: DataFrame | None = None, year_hint: int | None = None) -> Ingested:
     """Tables first, then grids. ``pages`` may hold the text of printed grids that was extracted elsewhere.
 
-    Only headers, one legend per page and counts per file come to the driver.
+    Only headers, what each page names (not its text) and counts per file come to the driver.
     """
     issues: list[tuple] = []
     parts: list[DataFrame] = []
@@ -112,14 +113,13 @@ def ingest_files(cfg: Config, spark: SparkSession, paths: Iterable[str | Path],
             issues.append(("unrecognised_file", "info", "A file was skipped", f"{path.name}: no source for printed grids is configured.", path.name, None))
             continue
         try:
-            own = spark.createDataFrame(grid.read_pdf(spark, str(path), k).collect(), grid.PAGES)
-            found.append(own)
+            found.append(staged(grid.read_pdf(spark, str(path), k)))  # here, so that a file that cannot be read is found out
         except Exception as e:  # noqa: BLE001
             why = str(e).strip().splitlines() or [type(e).__name__]
             issues.append(("unreadable_file", "critical", "A file cannot be read", f"{path.name}: {why[-1][:200]}", path.name, None))
     union = lambda xs: reduce(lambda a, b: a.unionByName(b), xs)
     if found and grids:
-        facts = grid.page_facts(cfg, union(found)).cache()
+        facts = staged(grid.page_facts(cfg, union(found)))
         for p in facts.select("file", "page", "place", F.size("legend").alias("n"), F.size("grids").alias("g")).orderBy("file_ord", "page").collect():
             where = f"Page {p['page']} of {p['file']}"
             origin.setdefault(p["file"], grids[0])
