@@ -295,4 +295,20 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sorted((r["doc_id"], r["start"], r["length"]) for r in whole.collect()) == want
 
 
+def test_stages_keep_any_columns_and_take_empty_tables(spark, tmp_path):
+    """Names with dots and backquotes, nulls in every column, repeated rows, and no rows at all."""
+    text = " ".join(f"word{k} und noch" for k in range(12))
+    rows = [(1, text, "en", "s", 1, "x"), (2, None, None, None, None, None), (3, "", "en", "s", 1, "x"), (None, text + " end", None, None, None, "y"), (1, text, "en", "s", 1, "x")]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "a.b`c"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, x string").toDF(*names)
+    for n, (start, kept) in enumerate(((frame, [1, 1, None]), (frame.limit(0), []))):
+        before = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, before, "").write.parquet(str(tmp_path / f"{n}-{k}"))
+            before = spark.read.parquet(str(tmp_path / f"{n}-{k}"))
+            if k < 3:
+                assert before.columns == names and sorted((r["doc_id"] for r in before.collect()), key=str) == kept, name
+        assert before.count() >= len(kept)
+
+
 STAGE_NAMES = ["language", "near_duplicates", "personal_data", "mixing", "packing"]
