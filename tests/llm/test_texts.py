@@ -375,6 +375,30 @@ def test_base_spans_seed_patterns(spark):
     assert [got[k] for k in range(len(texts) + len(asked), len(got))] == [""] * len(clean)
 
 
+def test_scores_equal_a_plain_graph(spark):
+    """Sums over dictionaries, round by round; patterns that words fill elsewhere count for less."""
+    rng = random.Random(13)
+    rows = [(rng.randrange(60), rng.random() < 0.1, rng.sample([f"p{k}" for k in range(15)], rng.randint(1, 3))) for _ in range(400)]
+    followed = [(f"p{k}", rng.randint(1, 400)) for k in range(0, 15, 2)] + [("elsewhere", 5)]
+    patterns, times, seeds = {}, {}, {}
+    for i, seed, ps in rows:
+        seeds[i] = max(seeds.get(i, 0.0), float(seed))
+        for p in ps:
+            patterns.setdefault(i, set()).add(p)
+            times[p] = times.get(p, 0) + 1
+    score = dict(seeds)
+    for _ in range(op8_pii.ROUNDS):
+        confidence = {}
+        for p, own in times.items():
+            fills = [i for i in patterns if p in patterns[i]]
+            filled = len(fills) + max(0, dict(followed).get(p, own) - own)
+            confidence[p] = sum(score[i] for i in fills) / (filled + op8_pii.DOUBT)
+        score = {i: max(seeds[i], 1 - np.prod([1 - min(confidence[p], 0.999999) for p in patterns[i]])) for i in patterns}
+    found = spark.createDataFrame(rows, "instance long, seed boolean, patterns array<string>")
+    got = {r["instance"]: r["score"] for r in op8_pii.scores(found, followed=spark.createDataFrame(followed, "pattern string, n long")).collect()}
+    assert got == {i: pytest.approx(x, abs=1e-9) for i, x in score.items()} and 0 < sum(x < 1 for x in got.values()) < len(got)
+
+
 def test_sites_of_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1 " * 150_000, "a=" * 100_000, "k: 1.1.1.1 " * 20_000, "_" * 300_000, "AB 12 " * 50_000, '":' * 100_000):
         op8_pii.sites(text, op8_pii.base_spans(text))

@@ -31,7 +31,7 @@ from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, named, staged, table
@@ -250,25 +250,26 @@ def scores(found: DataFrame, rounds: int = ROUNDS, followed: DataFrame | None =
 
     ``followed`` (pattern, n) says how often patterns were followed by anything.
     """
-    nodes = staged(found.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("seed")))
-    edges = staged(found.select("instance", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.count(F.lit(1)).alias("n")))
+    own = Window.partitionBy("instance")
+    edges = found.select("instance", F.col("seed").cast("double").alias("seed"), F.explode("patterns").alias("pattern"))
+    edges = edges.groupBy("instance", "pattern").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
+    edges = staged(edges.withColumn("seed", F.max("seed").over(own)))
     others = edges.groupBy("pattern").agg(F.sum("n").alias("own"), F.count(F.lit(1)).alias("filled"))
     if followed is not None:
         others = others.join(followed.groupBy("pattern").agg(F.sum("n").alias("n")), "pattern", "left")
         others = others.withColumn("filled", F.col("filled") + F.greatest(F.coalesce("n", "own") - F.col("own"), F.lit(0)))
     others = staged(others.select("pattern", "filled"))
-    edges = edges.drop("n")
-    scored = nodes.select("instance", F.col("seed").alias("score"))
+    # An edge carries the score of its instance, so a round sums by pattern and then by instance, and that is all it moves.
+    scored = edges.select("instance", "pattern", "seed", F.col("seed").alias("score"))
     for _ in range(rounds):
-        weighed = edges.join(scored.filter("score > 0"), "instance").groupBy("pattern").agg(F.sum("score").alias("score"))
+        weighed = scored.filter("score > 0").groupBy("pattern").agg(F.sum("score").alias("score"))
         weighed = weighed.join(others, "pattern").select("pattern", (F.col("score") / (F.col("filled") + DOUBT)).alias("confidence"))
         confident = staged(weighed)
         confident = F.broadcast(confident) if confident.limit(PATTERNS + 1).count() <= PATTERNS else confident
-        doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
-        reached = edges.join(confident, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("reached"))
-        scored = nodes.join(reached, "instance", "left")
-        scored = staged(scored.select("instance", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("score")))
-    return scored
+        doubt = F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999999)))).over(own)
+        scored = scored.join(confident, "pattern", "left").select("instance", "pattern", "seed", F.greatest("seed", 1 - F.exp(doubt)).alias("score"))
+        scored = staged(scored)
+    return scored.groupBy("instance").agg(F.max("score").alias("score"))
 
 
 def found_spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -291,13 +292,15 @@ def listed(spans: str) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, counts by base kind, a digest of the base spans, n_found, and all spans."""
+    """A row per document: doc_id, counts by base kind, a digest of the base spans, all spans, their number, whether any."""
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return found_spans(docs).select(
         "doc_id",
         *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)],
         F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_found"),
+        (F.size("spans") > 0).alias("personal"),
     )
 
 
