@@ -47,15 +47,20 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def next_stage(spark: SparkSession) -> None:
-    """Called where a stage of a pipeline starts: what the stage before it staged goes, as its result is written by now.
+@contextlib.contextmanager
+def stage(spark: SparkSession):
+    """Around the function of a pipeline's stage: what the stage before it staged goes, as its result is written by now.
 
-    Tables of this thread only; those staged outside pipelines stay until their folder goes.
+    Only tables that such functions of this thread staged; those of single operators stay until their folder goes.
     """
-    for path in getattr(_scope, "made", None) or ():
+    for path in getattr(_scope, "left", ()):
         delete(spark, path)
-    _scope.made = []
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of plans that nobody holds any more
+    _scope.left = _scope.made = []
+    try:
+        yield
+    finally:
+        _scope.made = None
 
 
 def delete(spark: SparkSession, path: str) -> None:
