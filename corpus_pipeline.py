@@ -31,9 +31,9 @@ def stage(fn: Callable) -> Callable:
 
     @functools.wraps(fn)
     def start(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.next_stage(spark)
-        common.small_batches(spark)
-        return fn(spark, docs, sf_dir)
+        with common.stage(spark):
+            common.small_batches(spark)
+            return fn(spark, docs, sf_dir)
 
     return start
 
@@ -92,5 +92,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             common.delete(spark, before)
         before = path
-    common.next_stage(spark)
-    return docs
+    with common.stage(spark):
+        return docs
