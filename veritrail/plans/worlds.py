@@ -24,7 +24,7 @@ from ..operators.events import events as build_events
 from ..operators.golden import entities as build_entities
 from ..operators.golden import golden as build_golden
 from ..operators.normalize import DERIVED, ERRORS
-from ..operators.rules import Context, run_rules
+from ..operators.rules import RULES, Context, run_rules
 
 AS_OF = date(2001, 8, 1)
 
@@ -77,6 +77,9 @@ CLOCK = {
 }
 
 
+_OF_RECORDS = ("duplicate_key", "numeric_range", "date_order", "future_date", "required", "invalid_value")
+
+
 class World:
     """Linked records under a configuration; what the engine makes of them is made when it is asked for.
 
@@ -115,15 +118,18 @@ class World:
     def last_run(self) -> dict:
         return {"id": 1, "snapshot": 1, "as_of": self.as_of}
 
+    def _plain(self) -> Context:
+        """A context for rules that look at records only: nothing else is made before it is asked for."""
+        golden = build_golden(self.cfg, self.records)
+        return Context(self.cfg, self.spark, self.records, build_entities(self.cfg, self.records, golden), golden, self.table("events"), self.as_of, [], set(self.cfg.sources))
+
     @property
     def context(self) -> Context:
         return Context(self.cfg, self.spark, self.records, self.table("entities"), self.table("golden"), self.table("events"), self.as_of, [], set(self.cfg.sources))
 
     def rule(self, p: dict) -> DataFrame:
         """The findings of one rule."""
-        from ..operators.rules import RULES
-
-        return RULES[p["type"]](self.context, p)
+        return RULES[p["type"]](self._plain() if p["type"] in _OF_RECORDS else self.context, p)
 
 
 def _records(raw: dict, source: str, rows: DataFrame, key: Column, entity: Column, values: dict[str, Column], order: Column, errors: Column | None = None) -> DataFrame:
