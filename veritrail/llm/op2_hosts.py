@@ -76,13 +76,11 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
         (F.length("_flat") - F.length(F.regexp_replace("_flat", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         F.coalesce(F.size("_lines") - F.size(F.array_distinct("_lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
     ).withColumn("n_words", F.greatest(F.size("_words"), F.lit(0)).cast("long"))
-    starts = F.sequence(F.lit(1), (F.col("n_words") - (WINDOW - 1)).cast("int"))
-    hashed = worded.select(
-        "*",
-        F.when(
-            F.col("n_words") > WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("_words"), i, F.lit(WINDOW))))
-        ).alias("_windows"),
-    ).drop("_words")
+    # Every word is hashed once, and a window is the hash of its words' hashes.
+    starts = F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int"))
+    worded = worded.withColumn("_codes", F.when(F.col("n_words") > WINDOW, F.transform("_words", lambda w: F.xxhash64(w)))).drop("_words")
+    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("_codes"), i + k) for k in range(WINDOW)]))
+    hashed = worded.withColumn("_windows", F.when(F.col("n_words") > WINDOW, windows)).drop("_codes")
     several = F.size(F.array_distinct("_windows")) < F.size("_windows")
     return hashed.select(
         "doc_id",
