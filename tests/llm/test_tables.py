@@ -88,6 +88,41 @@ def test_curriculum_follows_the_schedule(spark):
     assert out.columns == table.columns and out.count() == op1_mixing.mix(table).agg(F.sum("passes")).head()[0]
 
 
+def test_integrals_of_schedules_are_the_shares(spark):
+    table = docs(spark, [(k, "w " * 20, "abc"[k // 600]) for k in range(1800)])
+    schedules = (((0, 3.0), (1, 1.0)), ((0, 1.0), (1, 1.0)), ((0, 0.0), (1, 0.0)))
+    placed = op1_mixing.mix(table, weights=(1, 1, 1), schedules=schedules, share=0.25).collect()
+    assert {r["source"]: r["target"] for r in placed} == pytest.approx({"a": 6000, "b": 3000, "c": 0})
+    taken = defaultdict(list)
+    for r in placed:
+        taken[r["source"]] += r["positions"]
+    assert [len(taken[s]) for s in "abc"] == [300, 150, 0]
+    for start, ratio in ((0.0, 2.8), (0.4, 2.0), (0.8, 1.2)):  # the weights in the middle of each fifth
+        within = [sum(start <= p < start + 0.2 for p in taken[s]) for s in "ab"]
+        assert within == [pytest.approx(30 * ratio, abs=1), pytest.approx(30, abs=1)]
+    assert op1_mixing.targets([100, 100], [0, 2]) == [0, 200]
+
+
+def test_mixing_query_reads_the_training_order(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, "w " * rng.randint(0, 30), rng.choice(["a", "b", "", "c", None])) for k in range(300)]
+    rows += [(None, None, "a"), (None, None, "a"), (None, "one two", "b"), (900, "", None), rows[0], rows[0]]
+    table = docs(spark, rows)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    placed = op1_mixing.mix(table).collect()
+    order = op1_mixing.sequence(table).collect()
+    assert [r["position"] for r in order] == sorted(p for r in placed for p in r["positions"])
+    assert sorted(r["doc_id"] or -1 for r in order) == sorted(r["doc_id"] or -1 for r in op1_mixing.curriculum(table).collect())
+    first = lambda r: round(r["positions"][0], 6) if r["positions"] else None
+    want = sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["size"] * len(r["positions"]), first(r)) for r in placed), key=repr)
+    assert sorted(map(tuple, op1_mixing.op1_mixing(spark, str(tmp_path)).collect()), key=repr) == want
+    # A pass that is not in the order is not told by the query.
+    whole = op1_mixing.Mix.sequence
+    monkeypatch.setattr(op1_mixing.Mix, "sequence", lambda self, placed: whole(self, placed).filter("pass = 0"))
+    assert any(r["passes"] == 2 for r in placed)
+    assert all(r["taken"] in (0, r["size"]) for r in op1_mixing.op1_mixing(spark, str(tmp_path)).collect())
+
+
 def measures(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]

@@ -1,21 +1,24 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
-Each source has a weight schedule over training time 0..1. Its integral gives the source's share of the token
-budget, and its cumulative form says how much of that share is wanted by any moment. A document that starts at
-word c of its source's stream is therefore placed at the moment when the source's cumulative demand reaches c;
-sorting by that moment gives the training order.
+Each source has a weight schedule over training time 0..1: its weight times a factor that changes. Its integral gives
+the source's share of the token budget, and its cumulative form says how much of that share is wanted by any moment. A
+document that starts at word c of its source's stream is therefore placed at the moment when the source's cumulative
+demand reaches c; sorting by that moment gives the training order.
 
-* Shares above ``cap`` times a source's size stop there; the excess goes to the others by weight.
+* Shares above ``cap`` times a source's size stop there; the excess goes to the others by weight. While no share is
+  capped, the mix around any moment is that of the weights at that moment.
 * The stream of a source is its documents in the order of a hash of their id, over again if more is wanted. A pass
   over a document counts if its middle lies before the target, so a source misses its target by less than a document.
 * Running word counts need no group in one task: a source is cut into hash ranges, the ranges are summed first, and
   only a range is ever sorted in one task.
+* The training order is a row for each pass. :func:`sequence` gives it without texts, :func:`curriculum` with all
+  columns; the query tells what is taken, and from when on, from the rows of that order.
 
 Only one row per source and one schedule per source reach the driver.
 
 Null or empty text has size 0 and is never taken. A null source is a source of its own, last in order. Null ids hash
 as the empty text. Rows that repeat an id are separate documents. No rows give no rows. Other columns are ignored,
-or carried by :func:`curriculum`, whatever their names.
+or carried by :func:`curriculum`, whatever their names. A source whose schedule integrates to 0 is never taken.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from .common import named, staged, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-#: Weight over time, as (moment, factor) knots with straight lines between; one for each place in WEIGHTS.
+#: Factors on a weight over time, as (moment, factor) knots with straight lines between; one for each place in WEIGHTS.
 SCHEDULES = (((0.0, 1.4), (1.0, 0.6)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.6), (0.5, 1.0), (1.0, 1.4)))
 #: Documents that a hash range is meant to hold.
 RANGE_ROWS = 2_048
@@ -42,9 +45,9 @@ PART_WORDS = 2_000_000
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, cap: float = CAP) -> list[float]:
     """Words wanted of each source: shares of ``share`` times all sizes by weight, none above ``cap`` times its size."""
-    left, out = share * float(sum(sizes)), [cap * n for n in sizes]
+    left, out = share * float(sum(sizes)), [cap * n if w > 0 else 0.0 for n, w in zip(sizes, weights)]
     # In order of how soon the cap is met, a source is capped if even the sources after it would be given too much.
-    order = sorted(range(len(sizes)), key=lambda i: (cap * sizes[i] / weights[i], i))
+    order = sorted((i for i in range(len(sizes)) if weights[i] > 0), key=lambda i: (cap * sizes[i] / weights[i], i))
     free = list(accumulate(weights[i] for i in reversed(order)))[::-1]
     for k, i in enumerate(order):
         if left * weights[i] / free[k] < out[i]:
@@ -55,12 +58,17 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE
     return out
 
 
+def integral(knots: Sequence[tuple[float, float]]) -> float:
+    return sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(knots, knots[1:]))
+
+
 def segments(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
     """(start, weight there, slope, integral up to there) of each line of a schedule, the integral scaled to end at 1."""
-    lines, total = [], 0.0
+    lines, before = [], 0.0
     for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
-        lines.append((t0, w0, (w1 - w0) / (t1 - t0), total))
-        total += (t1 - t0) * (w0 + w1) / 2
+        lines.append((t0, w0, (w1 - w0) / (t1 - t0), before))
+        before += integral(((t0, w0), (t1, w1)))
+    total = before or 1.0
     return [(float(t), w / total, s / total, c / total) for t, w, s, c in lines]
 
 
@@ -105,7 +113,7 @@ class Mix:
         self.slim = staged(self._rows(docs.select("doc_id", "source", "text")))
         found = self.slim.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
         found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-        weight = [weights[i % len(weights)] for i in range(len(found))]
+        weight = [weights[i % len(weights)] * integral(schedules[i % len(schedules)]) for i in range(len(found))]
         wanted = targets([r["size"] for r in found], weight, share, cap)
         self.words = sum(wanted)
         shares = [sum(wanted[k :: len(schedules)]) / (self.words or 1) for k in range(len(schedules))]
@@ -144,6 +152,8 @@ class Mix:
         positions = F.array(*[F.when(F.col("passes") > k, moment(F.col("lines"), part(k))) for k in range(most)])
         return rows.select(
             "doc_id",
+            "source",
+            F.col("_at").alias("start"),
             "size",
             "source_size",
             "target",
@@ -153,31 +163,57 @@ class Mix:
             *(["_carried"] if carry else []),
         )
 
+    def ordered(self, rows: DataFrame, tie: str | Column) -> DataFrame:
+        """``rows``, one for each pass, by their ``position``: the training order.
+
+        Where the ranges of positions end is known from the schedules, which say how many words are wanted by any moment;
+        nothing is sampled.
+        """
+        most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, min(most, math.ceil(self.words / PART_WORDS)))
+        place = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(demand(self.lines, F.col("position")) * parts))).cast("int")
+        return rows.repartitionById(parts, place).sortWithinPartitions("position", tie)
+
+    def sequence(self, placed: DataFrame) -> DataFrame:
+        """The training order over rows of :meth:`placed`, without texts."""
+        passes = placed.select("doc_id", "source", "start", "size", "source_size", "target", F.posexplode("positions").alias("pass", "position"))
+        return self.ordered(passes, "doc_id")
+
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, passes, taken, positions (one for each pass)."""
+    """A row per document: doc_id, source, start (words of its source before it), size, source_size, target, passes,
+    taken, positions (one for each pass)."""
     return Mix(docs, weights, schedules, share, cap).placed()
 
 
+def sequence(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The training order without texts, a row for each pass: doc_id, source, start, size, source_size, target, pass
+    (from 0), position."""
+    own = Mix(docs, weights, schedules, share, cap)
+    return own.sequence(own.placed())
+
+
 def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The documents that the mix takes, a row for each pass, sorted by training position; columns as in ``docs``.
 
-    Texts move twice: to the range of their source that holds them, and to their place in training. Where the ranges of
-    positions end is known from the schedules, which say how many words are wanted by any moment; nothing is sampled.
+    Texts move twice: to the range of their source that holds them, and to their place in training.
     """
-    spark, own = docs.sparkSession, Mix(docs, weights, schedules, share, cap)
-    rows = own.placed(carry=True).select(F.explode("positions").alias("_position"), "_carried")
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(own.words / PART_WORDS)))
-    place = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(demand(own.lines, F.col("_position")) * parts))).cast("int")
-    ordered = rows.repartitionById(parts, place).sortWithinPartitions("_position", F.col("_carried.doc_id"))
-    return ordered.select(*[F.col("_carried").getField(c).alias(c) for c in docs.columns])
+    own = Mix(docs, weights, schedules, share, cap)
+    rows = own.placed(carry=True).select(F.explode("positions").alias("position"), "_carried")
+    return own.ordered(rows, F.col("_carried.doc_id")).select(*[F.col("_carried").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.try_element_at("positions", F.lit(1)), 6).alias("first_position"))
+    own = Mix(table(spark, sf_dir, "documents"), WEIGHTS, SCHEDULES, SHARE, CAP)
+    placed = staged(own.placed())
+    order = staged(own.sequence(placed))
+    # Of the documents that are taken, no two of a source start at one word.
+    taken = order.groupBy("source", "start", "doc_id", "size", "source_size", "target").agg(F.sum("size").alias("taken"), F.min("position").alias("first"))
+    never = placed.filter("passes = 0").withColumns({"taken": F.lit(0).cast("long"), "first": F.lit(None).cast("double")})
+    rows = taken.unionByName(never.select(taken.columns))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.round("first", 6).alias("first_position"))
 
 
 ORACLE_SQL = r"""
