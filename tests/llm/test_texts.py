@@ -53,6 +53,20 @@ def test_ids_are_the_tokenizers():
         assert np.frombuffer(got, "<u4").tolist() == [*own.encode(text, add_special_tokens=False).ids, 1], ascii(text)
 
 
+def test_frequent_words_are_encoded_once(monkeypatch):
+    path, rng = op9_packing.vocabulary(), random.Random(9)
+    texts = [f"the of and {rng.getrandbits(60):x} é{rng.getrandbits(60):x} the {'long' * 20} of" for _ in range(400)]
+    want = op9_packing.encode(texts, path)
+    encoded, plain = [], op9_packing._Words._plain
+    monkeypatch.setattr(op9_packing, "REMEMBERED", 100)
+    monkeypatch.setattr(op9_packing, "_vocabularies", {})
+    monkeypatch.setattr(op9_packing._Words, "_plain", lambda self, word: encoded.append(word) or plain(self, word))
+    assert [ids for k in range(0, 400, 20) for ids in op9_packing.encode(texts[k : k + 20], path)] == want
+    assert len(encoded) == len(set(encoded)) == 803
+    known = op9_packing._vocabularies[path]
+    assert len(known) <= 150 and len(known.older) <= 150 and not known.older.older  # words not met for long are forgotten
+
+
 def test_pieces_are_binary_digits():
     for n in (1, 2, 3, 2047, 2048, 2049, 10_000):
         sizes = [s for _, s in op9_packing.pieces(n)]

@@ -5,8 +5,9 @@ count (whole sequences of 2048 first, then falling powers of two). Pieces of equ
 is a sequence of its own, so no sequence crosses a document and nothing is padded.
 
 Tokens: the vocabulary splits text at white space before anything else, so the ids of a text are the ids of its
-blank-separated words in order. Words are encoded once and remembered, within a bound, by each Python worker. Texts with
-control characters, or with the name of a special token (which becomes that token), are encoded whole.
+blank-separated words in order. Words are encoded when first met and remembered, within a bound, by each Python worker;
+beyond it, words not met for long go. Texts with control characters, or with the name of a special token (which becomes
+that token), are encoded whole.
 
 All of it is one pass without a shuffle. A sequence's number is made of its bucket, its partition and a running
 number there, so it is unique without counting anything across partitions, and a lost task makes the same rows again.
@@ -21,7 +22,7 @@ import os
 import re
 import zlib
 from array import array
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from .common import claim, table
 
 LENGTH = 2_048
 END = 1
-#: Words that a worker remembers, and the longest word that it does.
-REMEMBERED = 300_000
+#: Words that a worker remembers before it starts anew, with those known so far at hand until it does so again, and the
+#: longest word that it remembers.
+REMEMBERED = 200_000
 LONGEST = 48
 
 #: How the vocabulary splits a lower-cased word before it looks for pairs to merge (a fixed value).
@@ -54,7 +56,7 @@ _NAMES = _byte_names()
 
 
 class _Words:
-    """The vocabulary with the words it has met: ids of a word as little-endian unsigned 32-bit numbers."""
+    """The vocabulary: ids of a word or text as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,33 +65,62 @@ class _Words:
         self.own = Tokenizer.from_file(path)
         self.model = self.own.model
         names = [re.escape(t.content) for t in self.own.get_added_tokens_decoder().values()]
-        #: Texts that words alone don't tell: they hold a name that is one token, or characters that are blanks to some only.
-        self.whole = re.compile("|".join([*names, "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\xad]"]), re.I)
-        self.known: dict[str, bytes] = {"": b""}
+        self.names = re.compile("|".join(names) or "(?!)", re.I)
+        #: What all names begin with, up to a letter.
+        self.mark = re.match(r"\W*", os.path.commonprefix([t.content for t in self.own.get_added_tokens_decoder().values()]))[0]
+
+    def whole(self, text: str) -> bool:
+        """Whether words alone don't tell a text: it holds a name that is one token, or characters that are blanks to some only."""
+        return bool(_CONTROLS.search(text) or (self.mark in text and self.names.search(text)))
 
     def _plain(self, word: str) -> bytes:
         low = word.lower()
         parts = (low,) if low.isalpha() else SPLIT.findall(low)
-        tokens = (t.id for p in parts for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_NAMES)))
+        tokens = [t.id for p in parts for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_NAMES))]
         return array("I", tokens).tobytes()
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of unseen words; those that are short are remembered."""
-        odd = [w for w in words if len(w) > LONGEST or not PLAIN.fullmatch(w)]
-        found = {w: self._plain(w) for w in words.difference(odd)}
-        found.update((w, np.asarray(x.ids, "<u4").tobytes()) for w, x in zip(odd, self.own.encode_batch_fast(odd, add_special_tokens=False)))
-        self.known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
-        return {w: i for w, i in found.items() if len(w) > LONGEST}
+    def ids(self, word: str) -> bytes:
+        plain = len(word) <= LONGEST and (word.isprintable() if word.isascii() else PLAIN.fullmatch(word))
+        return self._plain(word) if plain else self.encode(word)
+
+
+class _Known(dict):
+    """Ids by word. A word that is not there is taken from the generation of words before, or encoded."""
+
+    def __init__(self, words: _Words, older: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.words, self.older, self.long = words, older, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST:
+            if word not in self.long:
+                self.long[word] = self.words.ids(word)
+            return self.long[word]
+        ids = self.older.get(word)
+        self[word] = ids = self.words.ids(word) if ids is None else ids
+        return ids
+
+    def next(self) -> _Known:
+        """The words for the next texts: beyond the bound a new generation of them, and the one before this goes."""
+        self.long.clear()
+        if len(self) <= REMEMBERED:
+            return self
+        self.older = {}
+        return _Known(self.words, self)
 
 
-_vocabularies: dict[str, _Words] = {}
+_vocabularies: dict[str, _Known] = {}
 
 
 #: A full stop or comma that ends a word together with other signs, with which it is one token.
 _GROUPED = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
+#: What matches wherever that does, and is faster to rule out.
+_PERHAPS_GROUPED = re.compile("[^0-9a-z\xdf-\xf6\xf8-\xff][.,][ \n]")
+#: Characters that are blanks, or nothing, to some only.
+_CONTROLS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\xad]")
 
 
 def _split(text: str) -> list[str]:
@@ -98,23 +129,16 @@ def _split(text: str) -> list[str]:
     if not sigma:
         text = text.lower()
     # The lower case of "İ" ends in a sign.
-    if not _GROUPED.search(text) and not (sigma and "İ" in text):
+    if not (_PERHAPS_GROUPED.search(text) and _GROUPED.search(text)) and not (sigma and "İ" in text):
         text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
     return text.replace("\n", " ").split(" ")
 
 
 def encode(texts: list[str | None], path: str, end: int = END) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, with the end token."""
-    own = _vocabularies.get(path) or _vocabularies.setdefault(path, _Words(path))
-    if len(own.known) > REMEMBERED:
-        own.known = {"": b""}
-    odd = {k: own.encode(t) for k, t in enumerate(texts) if t and own.whole.search(t)}
-    split = [[] if k in odd else _split(t or "") for k, t in enumerate(texts)]
-    long = own.learn(set(chain.from_iterable(split)).difference(own.known))
-    get, tail = own.known.__getitem__, int(end).to_bytes(4, "little")
-    if long:
-        get = lambda w: own.known[w] if w in own.known else long[w]
-    return [(odd[k] if k in odd else b"".join(map(get, words))) + tail for k, words in enumerate(split)]
+    known = _vocabularies[path] = _vocabularies[path].next() if path in _vocabularies else _Known(_Words(path), {})
+    own, get, tail = known.words, known.__getitem__, int(end).to_bytes(4, "little")
+    return [(b"" if not t else own.encode(t) if own.whole(t) else b"".join(map(get, _split(t)))) + tail for t in texts]
 
 
 def vocabulary() -> str:
