@@ -48,3 +48,62 @@ def test_joins_stay_joins(spark):
     both = plan("range_join") + plan("range_anti_join")
     assert "NestedLoop" not in both and "Cartesian" not in both
     assert "PushedFilters" in both
+
+
+def test_plans_do_no_more_than_they_are_asked(spark):
+    """What a rule does not tell is not made: no order of entities, no golden records, no second reading of the lines."""
+    plan = lambda n: catalogue.QUERIES[n](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+    reads = lambda text, column: text.count(f"Relation [{column}")
+    votes, conflict = plan("majority_vote"), plan("field_conflict")
+    assert "Join" not in votes and reads(votes, "l_orderkey") == 3 and votes.count("Aggregate") == 1
+    assert "Join" not in conflict and reads(conflict, "l_orderkey") == reads(conflict, "o_orderkey") == 1
+    periods = plan("range_join")
+    assert reads(periods, "l_orderkey") == 1 and reads(periods, "c_custkey") == 0 and "LeftSemi" not in periods
+    assert reads(plan("overtime"), "l_orderkey") == reads(plan("activity_after_expiry"), "l_orderkey") == 0
+    assert reads(plan("not_in_anchor"), "l_orderkey") == 1
+
+
+def test_golden_records_read_the_sources_that_speak(spark):
+    from veritrail.operators.golden import golden
+    from veritrail.plans import worlds
+
+    world = worlds.trade(spark, str(SF))
+    text = golden(world.cfg, world.records)._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_custkey" in text and "l_orderkey" not in text and "o_orderkey" not in text
+
+
+def test_a_task_of_a_vote_does_not_grow_with_the_votes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veritrail import reports
+    from veritrail.operators import components
+
+    votes = spark.range(3000).select((F.col("id") % 500).cast("string").alias("entity_key"), (F.col("id") % 3).cast("string").alias("source"), (F.col("id") % 7 % 2).cast("string").alias("canonical"))
+    want = {}
+    for r in votes.distinct().collect():
+        want.setdefault(r["entity_key"], []).append(r["canonical"])
+    best = lambda v: max(set(v), key=v.count) if v.count("0") != v.count("1") else None
+    for share, parts in ((components.SHARE, None), (2_000, 20)):
+        monkeypatch.setattr(components, "SHARE", share)
+        got = reports.majority(votes)
+        assert parts is None or got.rdd.getNumPartitions() >= parts
+        assert {r["entity_key"]: (r["winner"], r["values"]) for r in got.collect()} == {k: (best(v), len(set(v))) for k, v in want.items()}
+
+
+def test_periods_without_shifts_inside_stay_and_equal_ones_are_told_apart(spark):
+    from datetime import date
+    from types import SimpleNamespace
+
+    from veritrail.operators import rules
+
+    at = "struct<o:struct<entity_rank:int,entity_file:int,entity_ord:long,source_rank:int,file_ord:int,ord:long>,k:int>"
+    event = lambda e, kind, key, day, last, hours, n: (e, kind, key.split("|")[0], key, date(2020, 1, day), date(2020, 1, last), hours, ((0, 0, 0, 1, 0, n), 0))
+    rows = [
+        event("a", "paid", "p|1", 1, 5, 8.0, 1), event("a", "paid", "p|1", 1, 5, 8.0, 2), event("a", "paid", "p|3", 20, 22, 4.0, 3), event("b", "paid", "p|4", 1, 9, 2.0, 4),
+        event("a", "scheduled", "s|1", 2, 2, 3.0, 5), event("a", "scheduled", "s|2", 5, 5, 4.0, 6), event("a", "scheduled", "s|3", 9, 9, 5.0, 7), event("c", "scheduled", "s|4", 1, 1, 1.0, 8),
+    ]
+    events = spark.createDataFrame(rows, f"entity_key string, kind string, source string, record_key string, start_date date, end_date date, hours double, at {at}")
+    periods, loose = rules.reconciled(SimpleNamespace(events=events), {"scheduled": "scheduled", "paid": "paid"})
+    got = sorted((r["entity_key"], r["at"]["o"]["ord"], r["planned"], sorted(r["shift_keys"])) for r in periods.collect())
+    assert got == [("a", 1, 7.0, ["s|1", "s|2"]), ("a", 2, 7.0, ["s|1", "s|2"]), ("a", 3, 0.0, [])]
+    assert [r["shift_key"] for r in loose.collect()] == ["s|3"]

@@ -85,6 +85,10 @@ class Store:
             version = last["snapshot"] if name in SNAPSHOT else last["id"]
         return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
+    def linked(self) -> DataFrame:
+        """Records with their links."""
+        return self.table("records").join(self.table("links"), "record_key")
+
     # Decisions
 
     def _decide(self, kind: str, key: str, value: Any, note: str, removed: bool) -> None:
